@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features, festival_days
-from panelcast.functions.numeric import tidy
+from panelcast.functions.numeric import tidy, tidy_named
 from panelcast.operators.series import by_key, by_time
 
 MAX_LAGS = 30
@@ -60,7 +60,7 @@ def rolling_stats(longest: int, windows: tuple[int, ...] = ROLL_WINDOWS) -> dict
         if longest <= k:
             continue
         frame = before(k)
-        full = F.count("y").over(frame) == k
+        full = F.row_number().over(by_time()) > k
 
         def whole(x: Column, full: Column = full) -> Column:
             return F.when(full, x).otherwise(F.lit(0.0))
@@ -163,8 +163,7 @@ def feature_matrix(
         frame = placed.where(F.col("_pos") > min(lags, MAX_LAGS)).drop("_pos")
     names = feature_names(lags, longest)
     return frame.select(
-        "series_key", "ds", *extra, tidy(F.col("y")).alias("y"),
-        *[tidy(F.col(c)).alias(c) for c in names],
+        "series_key", "ds", *extra, tidy_named("y"), *[tidy_named(c) for c in names]
     )
 
 
