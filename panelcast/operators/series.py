@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.dates import parse_timestamp
 from panelcast.functions.freq import period_of, step_interval
 from panelcast.functions.numeric import clip, finite_or
 from panelcast.spec import SeriesSpec, validate
@@ -40,7 +41,7 @@ def as_day(column: Column, dtype: str) -> Column:
     """Date of a column; text that is no date becomes null."""
     if dtype.startswith("timestamp") or dtype == "date":
         return column.cast("date")
-    return F.try_to_timestamp(column.cast("string")).cast("date")
+    return parse_timestamp(column.cast("string")).cast("date")
 
 
 def clean_sales(df: DataFrame, spec: SeriesSpec) -> DataFrame:

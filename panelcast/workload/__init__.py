@@ -1,7 +1,9 @@
 """All registered queries; importing this package fills the registry."""
 
 from panelcast.workload import (  # noqa: F401
+    diagnostic_queries,
     feature_queries,
+    model_queries,
     series_queries,
 )
 from panelcast.workload.base import QUERIES, SQL

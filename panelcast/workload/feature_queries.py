@@ -160,8 +160,10 @@ def _ewm_sql(spans) -> dict:
 
 
 def _digits(name: str) -> int:
-    # Means of up to 90 money values lie on a grid that has no rounding ties at six digits.
-    if name.startswith(("roll_cv", "roll_mean", "month_", "dow_", "sin_", "cos_", "festival", "fest_")):
+    # Means of up to 90 money values lie on a grid that has no rounding ties at seven digits.
+    if name.startswith("roll_mean"):
+        return 7
+    if name.startswith(("roll_cv", "month_", "dow_", "sin_", "cos_", "festival", "fest_")):
         return 6
     return 4 if name.startswith(("lag_", "roll_max", "roll_min")) else 2
 
