@@ -154,16 +154,14 @@ def detect_date_scored(df: DataFrame) -> DataFrame:
     fits = (F.col("present") > 10) & (F.try_divide(F.col("parsed"), F.col("present")) > 0.9)
     # Without any scored column: the first one that parses, else the first one.
     tier = F.when(F.col("score") > 0, 0).when(fits, 1).otherwise(2)
-    order = [tier, F.when(F.col("score") > 0, -F.col("score")).otherwise(0), F.col("pos")]
-    row = F.struct("column", "score", "parsed", (F.col("last_year") - F.col("first_year")).alias(
-        "span"))
-    ranked = scores.select(
-        F.row_number().over(Window.orderBy(*order)).alias("rank"), row.alias("c")
-    ).where(F.col("rank") <= 2)
-    pair = ranked.agg(
-        F.max(F.when(F.col("rank") == 1, F.col("c"))).alias("a"),
-        F.max(F.when(F.col("rank") == 2, F.col("c"))).alias("b"),
+    order = F.when(F.col("score") > 0, -F.col("score")).otherwise(0)
+    entry = F.struct(
+        tier.alias("tier"), order.alias("order"), "pos", "column", "score", "parsed",
+        (F.col("last_year") - F.col("first_year")).alias("span"),
     )
+    # One entry per column of the table.
+    ranked = scores.agg(F.array_sort(F.collect_list(entry)).alias("r"))
+    pair = ranked.select(F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
     a, b = F.col("a"), F.col("b")
     close = (b["score"] > 0) & (a["score"] - b["score"] < 20)
     swap = close & (

@@ -4,6 +4,7 @@ from panelcast.workload import (  # noqa: F401
     diagnostic_queries,
     feature_queries,
     model_queries,
+    score_queries,
     series_queries,
 )
 from panelcast.workload.base import QUERIES, SQL
