@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,14 +88,31 @@ def fourier_weekly(ds: Column) -> dict[str, Column]:
     return _harmonics(F.weekday(ds), 7, 3, "dow_sin_{}", "dow_cos_{}")
 
 
+def by_day_of_year(ds: Column, value: Callable[[date], float]) -> Column:
+    """A value that depends on the day within the year, looked up by position.
+
+    The 365 and 366 values come from ``value`` on a common and a leap year and enter the plan as two
+    constant arrays, so the row pays for one array access.
+    """
+    def table(year: int) -> str:
+        first = date(year, 1, 1)
+        days = (date(year + 1, 1, 1) - first).days
+        return ",".join(f"{value(first + timedelta(i))!r}D" for i in range(days))
+
+    leap = F.dayofyear(F.make_date(F.year(ds), F.lit(12), F.lit(31))) == 366
+    slot = F.dayofyear(ds) - 1
+    common, long = F.expr(f"array({table(2023)})"), F.expr(f"array({table(2024)})")
+    return F.when(leap, F.get(long, slot)).otherwise(F.get(common, slot))
+
+
+def nearest_festival(day: date) -> float:
+    gaps = (abs((day - date(day.year, m, d)).days) for m, d in FESTIVALS)
+    return max(0.0, (FESTIVAL_REACH + 1 - min(gaps)) / (FESTIVAL_REACH + 1))
+
+
 def festival_score(ds: Column) -> Column:
     """Nearness to the closest festival of the same year: 1 on the day, 0 from 15 days on."""
-    def nearness(month: int, day: int) -> Column:
-        festival = F.make_date(F.year(ds), F.lit(month), F.lit(day))
-        return F.lit(float(FESTIVAL_REACH + 1)) - F.abs(F.date_diff(ds, festival))
-
-    best = F.greatest(*[nearness(m, d) for m, d in FESTIVALS])
-    return F.greatest(best, F.lit(0.0)) / F.lit(float(FESTIVAL_REACH + 1))
+    return by_day_of_year(ds, nearest_festival)
 
 
 def festival_features(ds: Column) -> dict[str, Column]:

@@ -28,15 +28,6 @@ def tidy(x: Column, bound: float = 1e15) -> Column:
     return clip(finite_or(x.cast("double")), -bound, bound)
 
 
-def tidy_named(name: str, bound: float = 1e15) -> Column:
-    """``tidy`` of a named column, written as one SQL expression: wide frames plan faster."""
-    c = f"`{name}`"
-    return F.expr(
-        f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity') THEN 0D "
-        f"ELSE least(greatest(double({c}), -{bound:.0e}D), {bound:.0e}D) END"
-    ).alias(name)
-
-
 def rnd(x: Column, digits: int = 6) -> Column:
     """Round and turn a negative zero into a plain one."""
     return F.round(x, digits) + F.lit(0.0)

@@ -43,6 +43,24 @@ def tail_array(train: DataFrame, k: int) -> DataFrame:
     return series_arrays(tail.drop("_back"))
 
 
+def cogroup_series(
+    left: DataFrame, right: DataFrame, function: Callable, schema: str
+) -> DataFrame:
+    """``function(left_rows, right_rows)`` per series.
+
+    Both sides often descend from one panel. The right one gets names of its own on the way, because
+    columns the two sides share by descent would be dropped from it.
+    """
+    renamed = right.toDF(*[f"r_{c}" for c in right.columns])
+
+    def call(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return function(a, b.rename(columns=lambda c: c.removeprefix("r_")))
+
+    return left.groupBy("series_key").cogroup(renamed.groupBy("r_series_key")).applyInPandas(
+        call, schema
+    )
+
+
 @dataclass(frozen=True)
 class CustomForecaster:
     """A user's function ``(history, steps) -> forecast`` over pandas frames of one series."""
@@ -62,9 +80,8 @@ class CustomForecaster:
             except Exception:  # noqa: BLE001 - a failing series becomes null rows
                 return steps.assign(yhat=float("nan"))
 
-        out = train.groupBy("series_key").cogroup(future.groupBy("series_key")).applyInPandas(
-            one, "series_key string, step int, ds date, yhat double"
-        )
+        out = cogroup_series(train, future, one,
+                             "series_key string, step int, ds date, yhat double")
         return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
-from panelcast.functions.numeric import tidy_named
+from panelcast.models.base import cogroup_series
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import feature_matrix, feature_names, longest_series
 from panelcast.operators.series import log1p_transform
@@ -164,11 +164,10 @@ class PerSeriesRegressor:
 
         frame = feature_matrix(log1p_transform(train, self.log), lags, longest)
         dated = future.withColumns(calendar_features(F.col("ds"))).select(
-            "series_key", "step", "ds", *[tidy_named(c) for c in calendar]
-        )
-        out = frame.groupBy("series_key").cogroup(dated.groupBy("series_key")).applyInPandas(
-            one, "series_key string, step int, ds date, yhat double"
+            "series_key", "step", "ds", *[F.col(c).cast("double").alias(c) for c in calendar]
         )
+        out = cogroup_series(frame, dated, one,
+                             "series_key string, step int, ds date, yhat double")
         return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
 
 
@@ -199,10 +198,9 @@ def neighbor_join(
         })
 
     keep = ["series_key", "ds", *features]
-    return train.select(*keep, "y").groupBy("series_key").cogroup(
-        rows.select(*keep).groupBy("series_key")
-    ).applyInPandas(
-        one, "series_key string, ds date, rank int, neighbor_ds date, distance double, y double"
+    return cogroup_series(
+        train.select(*keep, "y"), rows.select(*keep), one,
+        "series_key string, ds date, rank int, neighbor_ds date, distance double, y double",
     )
 
 

@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
-from panelcast.functions.numeric import tidy_named
 from panelcast.models.base import series_arrays
-from panelcast.models.gram import bayesian_ridge, gram
+from panelcast.models.gram import bayesian_ridge, gram, ridge
 from panelcast.models.predictors import (
     FourierPredictor,
     LinearPredictor,
@@ -40,7 +39,7 @@ _KEYS = ("series_key", "ds", "use_log", "y")
 def future_calendars(future: DataFrame) -> DataFrame:
     """Date features of the coming steps of each series, as one array per series in step order."""
     dated = future.withColumns(calendar_features(F.col("ds"))).select(
-        "series_key", "step", "ds", *[tidy_named(c) for c in CALENDAR_NAMES]
+        "series_key", "step", "ds", *[F.col(c).cast("double").alias(c) for c in CALENDAR_NAMES]
     )
     step = F.struct("step", "ds", F.array(*CALENDAR_NAMES).alias("calendar"))
     rows = F.sort_array(F.collect_list(step))
@@ -152,9 +151,20 @@ def assemble(frame: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def label_stats(frame: DataFrame) -> tuple[int, float]:
-    row = frame.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
-    return int(row[0]), float(row[1] or 0.0)
+@dataclass(frozen=True)
+class Profile:
+    """Row count, label deviation, and the features that vary, from one pass."""
+
+    n: int
+    deviation: float
+    live: np.ndarray
+
+
+def profile(frame: DataFrame, names: list[str]) -> Profile:
+    ends = [F.array(F.min(c), F.max(c)) for c in names]
+    row = frame.agg(F.count(F.lit(1)), F.stddev_pop("y"), F.array(*ends)).first()
+    live = np.array([low != high for low, high in row[2]])
+    return Profile(int(row[0]), float(row[1] or 0.0), live)
 
 
 # --- linear family -----------------------------------------------------------------------------
@@ -167,42 +177,52 @@ def label_stats(frame: DataFrame) -> tuple[int, float]:
 #   elastic net   regParam = a·r + a·(1−r)·s, elasticNetParam = a·r / regParam
 
 
-def _linear(frame: DataFrame, names: list[str], **params) -> tuple:
+def _linear(frame: DataFrame, names: list[str], seen: Profile, **params) -> tuple:
+    """Fit on the features that vary. A constant one would enter with a deviation of pure rounding
+    noise and an arbitrarily large coefficient."""
+    used = [c for c, live in zip(names, seen.live, strict=True) if live]
     model = LinearRegression(labelCol="y", standardization=True, **params).fit(
-        assemble(frame, names)
+        assemble(frame, used)
     )
-    w = model.coefficients.toArray()
+    w = np.zeros(len(names))
+    w[seen.live] = model.coefficients.toArray()
     return LinearPredictor(w, float(model.intercept)), np.abs(w)
 
 
 def solve_linear(frame: DataFrame, names: list[str]) -> tuple:
-    return _linear(frame, names, regParam=0.0)
+    """Shortest least-squares solution: some calendar features repeat each other, so the normal
+    equations have no unique one."""
+    g = gram(frame, names)
+    w, b = g.plain(ridge(g, 0.0))
+    return LinearPredictor(w, b), np.abs(w)
 
 
 def solve_ridge(frame: DataFrame, names: list[str], alpha: float = 1.0) -> tuple:
-    n, s = label_stats(frame)
-    return _linear(frame, names, regParam=alpha * s / n, elasticNetParam=0.0)
+    seen = profile(frame, names)
+    strength = alpha * seen.deviation / seen.n
+    return _linear(frame, names, seen, regParam=strength, elasticNetParam=0.0)
 
 
 def solve_lasso(frame: DataFrame, names: list[str], alpha: float = 0.01) -> tuple:
-    return _linear(frame, names, regParam=alpha, elasticNetParam=1.0, maxIter=5000, tol=1e-8)
+    return _linear(frame, names, profile(frame, names), regParam=alpha, elasticNetParam=1.0,
+                   maxIter=5000, tol=1e-8)
 
 
 def solve_elasticnet(
     frame: DataFrame, names: list[str], alpha: float = 0.01, ratio: float = 0.5
 ) -> tuple:
-    _, s = label_stats(frame)
-    strength = alpha * ratio + alpha * (1 - ratio) * s
-    return _linear(frame, names, regParam=strength, elasticNetParam=alpha * ratio / strength,
-                   maxIter=5000, tol=1e-8)
+    seen = profile(frame, names)
+    strength = alpha * ratio + alpha * (1 - ratio) * seen.deviation
+    return _linear(frame, names, seen, regParam=strength,
+                   elasticNetParam=alpha * ratio / strength, maxIter=5000, tol=1e-8)
 
 
 def solve_huber(
     frame: DataFrame, names: list[str], epsilon: float = 1.35, alpha: float = 1e-4
 ) -> tuple:
-    n, _ = label_stats(frame)
-    return _linear(frame, names, loss="huber", epsilon=epsilon, regParam=alpha / n, maxIter=600,
-                   tol=1e-4)
+    seen = profile(frame, names)
+    return _linear(frame, names, seen, loss="huber", epsilon=epsilon, regParam=alpha / seen.n,
+                   maxIter=600, tol=1e-4)
 
 
 def solve_bayesian_ridge(frame: DataFrame, names: list[str]) -> tuple:

@@ -6,9 +6,12 @@ deseasonalised sales.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.calendar import by_day_of_year
 from panelcast.operators.series import by_key
 
 # Fixed values: (month, day) of the festivals of the demand index.
@@ -73,22 +76,24 @@ def payday_index(ds: Column, boost: Column | float = 0.12) -> Column:
     return F.when((day <= 2) | (day >= 28), F.lit(1.0) + _num(boost)).otherwise(F.lit(1.0))
 
 
-def festival_pull(ds: Column) -> Column:
+def pull_of(day: date) -> float:
     """Sum over all festivals of the neighbouring years: full weight within a week, a quarter
     within two."""
-    pull = F.lit(0.0)
-    for shift in (-1, 0, 1):
-        for month, day in FESTIVALS:
-            festival = F.make_date(F.year(ds) + shift, F.lit(month), F.lit(day))
-            gap = F.abs(F.date_diff(ds, festival))
-            pull = pull + (
-                F.when(gap <= 7, F.lit(1.0) - gap / F.lit(14.0))
-                .when(gap <= 14, F.lit(0.25) * (F.lit(1.0) - (gap - 7) / F.lit(14.0)))
-                .otherwise(F.lit(0.0))
-            )
+    pull = 0.0
+    for year in (day.year - 1, day.year, day.year + 1):
+        for m, d in FESTIVALS:
+            gap = abs((day - date(year, m, d)).days)
+            if gap <= 7:
+                pull += 1 - gap / 14
+            elif gap <= 14:
+                pull += 0.25 * (1 - (gap - 7) / 14)
     return pull
 
 
+def festival_pull(ds: Column) -> Column:
+    return by_day_of_year(ds, pull_of)
+
+
 def festival_index(
     ds: Column, boost: Column | float = 0.60, multiplier: Column | float = 1.0
 ) -> Column:

@@ -10,22 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features, festival_days
-from panelcast.functions.numeric import tidy, tidy_named
+from panelcast.functions.numeric import clip, tidy
 from panelcast.operators.series import by_key, by_time
 
 MAX_LAGS = 30
 SEASONAL_LAGS = (182, 365)
 ROLL_WINDOWS = (3, 7, 14, 30, 60, 90)
 EWM_SPANS = (7, 30)
+BOUND = 1e15
 # One block of the exponential mean: after so many rows the weight of span 30 is below 1e-14.
 EWM_BLOCK = 512
 
 
-def before(k: int, last: int = 1) -> Window:
-    """The k rows that end ``last`` rows before the current one."""
-    return by_time().rowsBetween(-(k + last - 1), -last)
-
-
 def lag_features(lags: int) -> dict[str, Column]:
     lags = min(lags, MAX_LAGS)
     zero = F.lit(0.0)
@@ -53,25 +49,59 @@ def seasonal_lags(longest: int) -> dict[str, Column]:
             for k in SEASONAL_LAGS if longest > k}
 
 
-def rolling_stats(longest: int, windows: tuple[int, ...] = ROLL_WINDOWS) -> dict[str, Column]:
-    """Mean, deviation, maximum, minimum and variation of the k rows before; 0 until k rows exist."""
-    out = {}
-    for k in windows:
-        if longest <= k:
+def window_plan(windows: tuple[int, ...]) -> dict[int, tuple[int, int] | None]:
+    """For each window the two smaller ones it is the sum of, or nothing when it has none."""
+    plan: dict[int, tuple[int, int] | None] = {}
+    for k in sorted(windows):
+        plan[k] = next(((a, k - a) for a in sorted(plan, reverse=True) if k - a in plan), None)
+    return plan
+
+
+def with_rolling(
+    series: DataFrame, longest: int, windows: tuple[int, ...] = ROLL_WINDOWS
+) -> DataFrame:
+    """Mean, deviation, maximum, minimum and variation of the k rows before; 0 until k rows exist.
+
+    A window that is the sum of two smaller ones is merged from them (60 days from 30 and the 30
+    before), with squared deviations merged so that no digits cancel. Only the others slide over
+    their rows, which keeps the cost per row near that of the largest of them.
+    """
+    plan = window_plan(tuple(k for k in windows if longest > k))
+    if not plan:
+        return series
+    base = series.columns
+    slides: dict[str, Column] = {"_row": F.row_number().over(by_time())}
+    for k, halves in plan.items():
+        if halves is None:
+            frame = by_time().rowsBetween(-k, -1)
+            slides |= {f"_mean{k}": F.avg("y").over(frame), f"_var{k}": F.var_pop("y").over(frame),
+                       f"_max{k}": F.max("y").over(frame), f"_min{k}": F.min("y").over(frame)}
+    df = series.withColumns(slides)
+    for k, halves in plan.items():
+        if halves is None:
             continue
-        frame = before(k)
-        full = F.row_number().over(by_time()) > k
-
-        def whole(x: Column, full: Column = full) -> Column:
-            return F.when(full, x).otherwise(F.lit(0.0))
-
-        mean, sd = F.avg("y").over(frame), F.stddev_samp("y").over(frame)
-        out[f"roll_mean_{k}"] = whole(mean)
-        out[f"roll_std_{k}"] = whole(sd)
-        out[f"roll_max_{k}"] = whole(F.max("y").over(frame))
-        out[f"roll_min_{k}"] = whole(F.min("y").over(frame))
-        out[f"roll_cv_{k}"] = whole(F.coalesce(F.try_divide(sd, mean + F.lit(1e-9)), F.lit(0.0)))
-    return out
+        (a, b) = halves
+        near = {s: F.col(f"_{s}{a}") for s in ("mean", "var", "max", "min")}
+        far = {s: F.lag(f"_{s}{b}", a).over(by_time()) for s in near}
+        df = df.withColumns({f"_far_{s}": x for s, x in far.items()})
+        gap = F.col("_far_mean") - near["mean"]
+        pa, pb = F.lit(a / k), F.lit(b / k)
+        df = df.withColumns({
+            f"_mean{k}": near["mean"] * pa + F.col("_far_mean") * pb,
+            f"_var{k}": near["var"] * pa + F.col("_far_var") * pb + gap * gap * pa * pb,
+            f"_max{k}": F.greatest(near["max"], F.col("_far_max")),
+            f"_min{k}": F.least(near["min"], F.col("_far_min")),
+        }).drop(*[f"_far_{s}" for s in far])
+    out = []
+    for k in plan:
+        mean = F.col(f"_mean{k}")
+        sd = F.sqrt(F.col(f"_var{k}") * F.lit(k / max(k - 1, 1)))
+        cv = clip(F.coalesce(F.try_divide(sd, mean + F.lit(1e-9)), F.lit(0.0)), -BOUND, BOUND)
+        stats = {"mean": mean, "std": sd, "max": F.col(f"_max{k}"), "min": F.col(f"_min{k}"),
+                 "cv": cv}
+        out += [F.when(F.col("_row") > k, x).otherwise(F.lit(0.0)).alias(f"roll_{name}_{k}")
+                for name, x in stats.items()]
+    return df.select(*base, *out)
 
 
 def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame:
@@ -137,11 +167,9 @@ def feature_names(lags: int, longest: int) -> list[str]:
 
 def history_features(series: DataFrame, lags: int, longest: int) -> DataFrame:
     """The series with all history columns."""
-    return with_ewm(
-        series.withColumns({
-            **lag_features(lags), **lag_diff(lags),
-            **seasonal_lags(longest), **rolling_stats(longest),
-        })
+    # Lags come last: the windows before them then carry narrow rows.
+    return with_ewm(with_rolling(series, longest)).withColumns(
+        {**lag_features(lags), **lag_diff(lags), **seasonal_lags(longest)}
     )
 
 
@@ -156,14 +184,18 @@ def feature_matrix(
     if longest is None:
         longest = longest_series(series)
     extra = [c for c in series.columns if c not in ("series_key", "ds", "y")]
+    # With a finite, bounded target every feature derived from it is finite too.
+    series = series.withColumn("y", tidy(F.col("y"), BOUND))
     frame = history_features(series, lags, longest)
-    frame = frame.withColumns(calendar_features(F.col("ds")))
+    frame = frame.withColumns(
+        {c: x.cast("double") for c, x in calendar_features(F.col("ds")).items()}
+    )
     if warmup == "drop":
         placed = frame.withColumn("_pos", F.row_number().over(by_time()))
         frame = placed.where(F.col("_pos") > min(lags, MAX_LAGS)).drop("_pos")
     names = feature_names(lags, longest)
     return frame.select(
-        "series_key", "ds", *extra, tidy_named("y"), *[tidy_named(c) for c in names]
+        "series_key", "ds", *extra, "y", *names
     )
 
 

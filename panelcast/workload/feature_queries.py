@@ -187,7 +187,12 @@ def _hist_query(name: str, exprs: dict, make) -> None:
 
 _hist_query("lag_features", _lag_sql(14), lambda: X.lag_features(14))
 _hist_query("lag_diff", _DIFF_SQL, lambda: X.lag_diff(14))
-_hist_query("rolling_stats", _roll_sql(X.ROLL_WINDOWS), lambda: X.rolling_stats(343))
+
+
+@query("rolling_stats", _hist_sql(NATION_WEEKLY, _roll_sql(X.ROLL_WINDOWS)))
+def _(spark, folder):
+    df = X.with_rolling(nation_weekly(spark, folder), longest=343)
+    return df.select("series_key", "ds", *_rounded(_roll_sql(X.ROLL_WINDOWS)))
 
 
 @query("seasonal_lags", _hist_sql(GLOBAL_DAILY, {f"lag_{k}": _lag(k) for k in (182, 365)}))
