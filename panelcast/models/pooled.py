@@ -126,6 +126,7 @@ class PooledRegressor:
     log: bool = True
     signed: bool = False
     options: dict = field(default_factory=dict, hash=False)
+    pooled: bool = True
 
     def fit(self, train: DataFrame) -> Fitted:
         longest = longest_series(train)

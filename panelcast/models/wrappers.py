@@ -25,6 +25,10 @@ class Differenced:
     def name(self) -> str:
         return f"Diff + {self.inner.name}"
 
+    @property
+    def pooled(self) -> bool:
+        return getattr(self.inner, "pooled", False)
+
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         changes = self.inner.forecast(first_difference(train), future)
         return integrate_forecast(changes, last_values(train))

@@ -12,12 +12,16 @@ from panelcast.models.base import Forecaster, run_models
 from panelcast.operators.metrics import actual_vs_predicted, forecast_metrics
 from panelcast.operators.outlook import future_index
 from panelcast.operators.series import train_test
+from panelcast.session import cut_lineage
 
 
 def score_holdout(
     models: Iterable[Forecaster], series: DataFrame, train_ratio: float = 0.8
 ) -> DataFrame:
     """Predictions of the last fifth of each series: ``(series_key, model, step, ds, y, yhat)``."""
+    models = list(models)
+    if len(models) > 1:
+        series = cut_lineage(series)
     train, test = train_test(series, train_ratio)
     return actual_vs_predicted(test, run_models(models, train, test.drop("y")))
 
@@ -37,9 +41,11 @@ def refit_on_full(
 
     ``winners`` has ``(series_key, model)``; a model only sees the series it won.
     """
+    series, winners = cut_lineage(series), cut_lineage(winners)
     future = future_index(series, periods, freq)
     parts = []
-    for m in models:
+    present = {r[0] for r in winners.select("model").distinct().collect()}
+    for m in (m for m in models if m.id in present):
         won = winners.where(F.col("model") == m.id).select("series_key")
         out = m.forecast(series.join(won, "series_key", "left_semi"),
                          future.join(won, "series_key", "left_semi"))
