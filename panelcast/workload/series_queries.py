@@ -44,12 +44,6 @@ def _(spark, folder):
     return nation_rows(spark, folder)
 
 
-@query("clean_sales", f"WITH {ROWS_BRAND} SELECT series_key, ds, {rsql('y', 4, 'y')} FROM rows_")
-def _(spark, folder):
-    rows = read_sales_table(spark, folder, "lineitem", ("brand",))
-    return rows.select("series_key", "ds", rnd(F.col("y"), 4).alias("y"))
-
-
 @query("resample_sum", _sql(resampled(ROWS_NATION, "W"), "resampled"))
 def _(spark, folder):
     return _out(S.resample_sum(nation_rows(spark, folder), "W"))
