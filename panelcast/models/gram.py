@@ -85,7 +85,7 @@ def ridge(g: Gram, alpha: float) -> np.ndarray:
 
 
 def elastic_net(
-    g: Gram, alpha: float, ratio: float, sweeps: int = 5000, tol: float = 1e-6
+    g: Gram, alpha: float, ratio: float, sweeps: int = 2000, tol: float = 1e-5
 ) -> np.ndarray:
     """Coordinate descent on the Gram matrix."""
     w = np.zeros(len(g.xy))

@@ -173,12 +173,12 @@ cutoff AS (SELECT *, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS INTEGER) AS cut FROM
 e AS (SELECT series_key, max(CASE WHEN pos = 0 THEN y END) AS y0,
   max(CASE WHEN pos = cut - 1 THEN y END) AS y1, max(cut) AS cut FROM cutoff GROUP BY 1)
 SELECT c.series_key, CAST(pos - c.cut + 1 AS INTEGER) AS step, ds,
-{rsql('greatest(y1 + (y1 - y0) / (c.cut - 1) * (pos - c.cut + 1), CAST(0 AS DOUBLE))', 2, 'yhat')}
+{rsql('greatest(y1 + (y1 - y0) / (c.cut - 1) * (pos - c.cut + 1), CAST(0 AS DOUBLE))', 4, 'yhat')}
 FROM cutoff c JOIN e USING (series_key) WHERE pos >= c.cut""")
 def _(spark, folder):
     train, test = train_test(cut_lineage(nation_weekly(spark, folder)))
     out = CustomForecaster("drift", "Drift", _drift).forecast(train, test.drop("y"))
-    return out.withColumn("yhat", rnd(F.col("yhat"), 2))
+    return out.withColumn("yhat", rnd(F.col("yhat"), 4))
 
 
 # --- folds and walk-forward ----------------------------------------------------------------------

@@ -16,7 +16,7 @@ from panelcast.operators import ranking as R
 from panelcast.operators import report as P
 from panelcast.operators.series import train_test
 from panelcast.plans.backtest import backtest, refit_on_full, score_holdout
-from panelcast.session import shared_folder
+from panelcast.session import cut_lineage, shared_folder
 from panelcast.sources import files
 from panelcast.workload.base import NATION_WEEKLY, nation_weekly, query, rsql
 from panelcast.workload.model_queries import SEASON, baselines, baselines_sql
@@ -346,17 +346,17 @@ def _(spark, folder):
 
 @query("refit_on_full")
 def _(spark, folder):
-    series = nation_weekly(spark, folder)
+    series = cut_lineage(nation_weekly(spark, folder))
     winners = R.best_model(backtest(baselines(), series)).select("series_key", "model")
     out = refit_on_full(baselines(), series, winners, STEPS, "W")
     return _round(out, {"yhat": 2})
 
 
 def _report_parts(spark, folder):
-    series = nation_weekly(spark, folder)
-    scores = backtest(baselines(), series)
+    series = cut_lineage(nation_weekly(spark, folder))
+    scores = cut_lineage(backtest(baselines(), series))
     future = O.future_index(series, STEPS, "W")
-    return series, scores, run_models(baselines(), series, future)
+    return series, scores, cut_lineage(run_models(baselines(), series, future))
 
 
 @query("text_report")
