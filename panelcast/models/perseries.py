@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
 from panelcast.models.base import cogroup_series
 from panelcast.models.recursion import roll_forward
-from panelcast.operators.features import feature_matrix, feature_names, longest_series
+from panelcast.operators.features import (
+    ROLL_WINDOWS,
+    feature_matrix,
+    feature_names,
+    longest_series,
+)
 from panelcast.operators.series import log1p_transform
 
 SEED = 42
@@ -139,10 +144,12 @@ class PerSeriesRegressor:
     log: bool = True
     signed: bool = False
     options: dict = field(default_factory=dict, hash=False)
+    warmup: str = "drop"
 
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         longest = longest_series(train)
-        lags, signed, fit, options = self.lags, self.signed, self.fit, self.options
+        lags, signed, fit = self.lags, self.signed, self.fit
+        options, warmup = self.options, self.warmup
         names = feature_names(lags, longest)
         calendar = list(CALENDAR_NAMES)
 
@@ -153,7 +160,8 @@ class PerSeriesRegressor:
                 return out.assign(yhat=np.nan)
             try:
                 y = rows["y"].to_numpy(dtype=float)
-                predict = fit(rows[names].to_numpy(dtype=float), y, **options)
+                cold = 0 if warmup == "zero" else min(max(ROLL_WINDOWS), len(y) // 4)
+                predict = fit(rows[names].to_numpy(dtype=float)[cold:], y[cold:], **options)
                 path = roll_forward(
                     [y], coming[calendar].to_numpy(dtype=float)[None], rows["use_log"].to_numpy()[:1],
                     predict, lags, longest, signed,

@@ -16,7 +16,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
@@ -29,11 +29,15 @@ from panelcast.models.predictors import (
     tree_predictor,
 )
 from panelcast.models.recursion import roll_forward
-from panelcast.operators.features import feature_matrix, feature_names, longest_series
-from panelcast.operators.series import log1p_transform
+from panelcast.operators.features import (
+    ROLL_WINDOWS,
+    feature_matrix,
+    feature_names,
+    longest_series,
+)
+from panelcast.operators.series import log1p_transform, with_position
 
 SEED = 42
-_KEYS = ("series_key", "ds", "use_log", "y")
 
 
 def future_calendars(future: DataFrame) -> DataFrame:
@@ -106,9 +110,25 @@ class Fitted:
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def training_frame(train: DataFrame, lags: int, longest: int, log: bool) -> DataFrame:
-    """Feature rows on the scale the regressor works in."""
-    return feature_matrix(log1p_transform(train, log), lags, longest)
+def training_frame(
+    train: DataFrame, lags: int, longest: int, log: bool, warmup: str = "drop"
+) -> DataFrame:
+    """Feature rows on the scale the regressor works in.
+
+    The first rows of a series have zeros where their lags and windows reach before its start. Fitted
+    along, they tilt a linear model so far that its recursion can diverge, so up to a quarter of each
+    series is left out; ``warmup="zero"`` keeps them.
+    """
+    frame = feature_matrix(log1p_transform(train, log), lags, longest)
+    if warmup == "zero":
+        return frame
+    placed = with_position(frame)
+    return placed.where(F.col("pos") >= warm_rows(F.col("n"))).drop("pos", "n")
+
+
+def warm_rows(n: Column) -> Column:
+    """Rows of a series of length n that count as warm-up."""
+    return F.least(F.lit(max(ROLL_WINDOWS)), F.floor(n / 4).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -126,12 +146,13 @@ class PooledRegressor:
     log: bool = True
     signed: bool = False
     options: dict = field(default_factory=dict, hash=False)
+    warmup: str = "drop"
     pooled: bool = True
 
     def fit(self, train: DataFrame) -> Fitted:
         longest = longest_series(train)
         names = feature_names(self.lags, longest)
-        frame = training_frame(train, self.lags, longest, self.log)
+        frame = training_frame(train, self.lags, longest, self.log, self.warmup)
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             predictor, importance = self.solve(frame, names, **self.options)

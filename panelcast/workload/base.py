@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.operators.series import build_series
+from panelcast.session import ship_package
 from panelcast.sources.tables import read_sales_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,11 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is what DuckDB runs to check it."""
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
