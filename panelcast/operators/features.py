@@ -24,9 +24,8 @@ EWM_BLOCK = 512
 
 def lag_features(lags: int) -> dict[str, Column]:
     lags = min(lags, MAX_LAGS)
-    zero = F.lit(0.0)
-    return {f"lag_{k}": F.coalesce(F.lag("y", k).over(by_time()), zero)
-            for k in range(1, lags + 1)}
+    w, zero = by_time(), F.lit(0.0)
+    return {f"lag_{k}": F.coalesce(F.lag("y", k).over(w), zero) for k in range(1, lags + 1)}
 
 
 def lag_diff(lags: int) -> dict[str, Column]:
@@ -115,31 +114,28 @@ def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame
     block = Window.partitionBy("series_key", "_blk")
     upto = block.orderBy("_off").rowsBetween(Window.unboundedPreceding, -1)
     prior = key.orderBy("_blk").rangeBetween(-1, -1)
-    pos = F.row_number().over(by_time()) - 1
+    zero, pos, off = F.lit(0.0), F.col("_pos").cast("double"), F.col("_off").cast("double")
+    decays = {span: 1.0 - 2.0 / (span + 1.0) for span in spans}
     df = (
-        series.withColumn("_pos", pos)
+        series.withColumn("_pos", F.row_number().over(by_time()) - 1)
         .withColumn("_blk", F.floor(F.col("_pos") / EWM_BLOCK).cast("int"))
         .withColumn("_off", (F.col("_pos") % EWM_BLOCK).cast("int"))
+        .withColumns({f"_g{s}": F.col("y") * F.pow(F.lit(d), -off) for s, d in decays.items()})
+    )
+    # Per row the weighted sum of the earlier rows of its block, and of the whole block; then the
+    # sum of the block before. The three kinds of window run once for all spans.
+    df = df.withColumns({f"_in{s}": F.sum(f"_g{s}").over(upto) for s in spans})
+    df = df.withColumns({f"_all{s}": F.sum(f"_g{s}").over(block) for s in spans})
+    df = df.withColumns({f"_was{s}": F.max(f"_all{s}").over(prior) for s in spans})
+    means = {}
+    for s, d in decays.items():
+        own = F.coalesce(f"_in{s}", zero) * F.pow(F.lit(d), off - 1)
+        carried = F.coalesce(f"_was{s}", zero) * F.pow(F.lit(d), off + (EWM_BLOCK - 1))
+        mass = (F.lit(1.0) - F.pow(F.lit(d), pos)) / (1.0 - d)
+        means[f"ewm_mean_{s}"] = F.when(pos > 0, (own + carried) / mass).otherwise(zero)
+    return df.withColumns(means).drop(
+        "_pos", "_blk", "_off", *[f"{p}{s}" for s in spans for p in ("_g", "_in", "_all", "_was")]
     )
-    for span in spans:
-        decay = 1.0 - 2.0 / (span + 1.0)
-        growth = F.pow(F.lit(decay), -F.col("_off").cast("double"))
-        at = F.col("_off").cast("double")
-        weighted = F.col("y") * growth
-        # decay**(off-1) * Σ y·decay**(-i) for the rows i < off of the block
-        inner = F.coalesce(F.sum(weighted).over(upto), F.lit(0.0)) * F.pow(F.lit(decay), at - 1)
-        carried = F.coalesce(F.max("_tot").over(prior), F.lit(0.0)) * F.pow(F.lit(decay), at)
-        mass = (F.lit(1.0) - F.pow(F.lit(decay), F.col("_pos").cast("double"))) / (1.0 - decay)
-        df = (
-            df.withColumn("_tot", F.sum(weighted).over(block)
-                          * F.pow(F.lit(decay), F.lit(float(EWM_BLOCK - 1))))
-            .withColumn(
-                f"ewm_mean_{span}",
-                F.when(F.col("_pos") > 0, (inner + carried) / mass).otherwise(F.lit(0.0)),
-            )
-            .drop("_tot")
-        )
-    return df.drop("_pos", "_blk", "_off")
 
 
 def longest_series(series: DataFrame) -> int:

@@ -95,53 +95,79 @@ def date_name_score(name: str) -> int:
     return score + (10 if name in DATE_SHORT_NAMES else 0)
 
 
-def date_profile(df: DataFrame) -> DataFrame:
-    """Per column: non-null, parsed and distinct counts, first and last year.
-
-    Values are counted per column and value first, so the exact distinct count needs no per-column
-    expansion, and the exchange is spread over all values. A number reads as nanoseconds since 1970.
+def _parsed(name: str, dtype: str) -> tuple[Column, Column]:
+    """Value of a column read as a date, as one number, and its year. A number reads as nanoseconds
+    since 1970."""
+    c = F.col(f"`{name}`")
+    if is_numeric(dtype):
+        nanos = c.try_cast("bigint")
+        return nanos, F.year(F.timestamp_micros(F.floor(nanos / 1000).cast("bigint")))
+    if dtype == "string" or is_temporal(dtype):
+        when = as_timestamp(c, dtype)
+        return F.unix_micros(when), F.year(when)
+    return F.lit(None).cast("bigint"), F.lit(None).cast("int")
+
+
+def date_profile(df: DataFrame) -> list[dict]:
+    """Per column its name score, non-null and parsed values, and first and last year.
+
+    One pass without any exchange of rows; the result is one entry per column.
     """
-    parts = []
-    for i, name, dtype in _columns(df):
-        c = F.col(f"`{name}`")
-        if is_numeric(dtype):
-            nanos = c.try_cast("bigint")
-            when = F.timestamp_micros(F.floor(nanos / 1000).cast("bigint"))
-            value, year = nanos.cast("string"), F.year(when)
-        elif dtype == "string" or is_temporal(dtype):
-            when = as_timestamp(c, dtype)
-            value, year = when.cast("string"), F.year(when)
-        else:
-            value, year = F.lit(None).cast("string"), F.lit(None).cast("int")
-        parts.append(F.struct(F.lit(i).alias("pos"), F.lit(name).alias("column"),
-                              c.isNotNull().alias("present"), value.alias("value"),
-                              year.cast("int").alias("year")))
-    long = df.select(F.inline(F.array(*parts)))
-    counted = long.groupBy("pos", "column", "present", "value", "year").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    known = F.col("value").isNotNull()
-    return counted.groupBy("pos", "column").agg(
-        F.sum(F.when(F.col("present"), F.col("rows")).otherwise(0)).alias("present"),
-        F.sum(F.when(known, F.col("rows")).otherwise(0)).alias("parsed"),
-        F.count(F.when(known, 1)).alias("distinct"),
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-    )
+    cells = []
+    for _, name, dtype in _columns(df):
+        value, year = _parsed(name, dtype)
+        cells.append(F.struct(
+            F.count(F.col(f"`{name}`")).alias("present"), F.count(value).alias("parsed"),
+            F.min(year).alias("first_year"), F.max(year).alias("last_year")))
+    out = []
+    for (pos, name, _), cell in zip(_columns(df), df.agg(F.array(*cells)).first()[0], strict=True):
+        seen = cell.asDict()
+        dated = (
+            seen["present"] > 0 and seen["parsed"] >= 0.8 * seen["present"]
+            and seen["first_year"] >= 1950 and seen["last_year"] <= 2100
+        )
+        out.append({"pos": pos, "column": name, "name_score": date_name_score(name),
+                    "dated": dated, **seen})
+    return out
+
+
+def distinct_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """Exact number of distinct dates of some columns: ``(column, distinct)``.
+
+    Values are grouped with their column name first, which spreads every column over all tasks.
+    """
+    types = dict(df.dtypes)
+    pairs = [F.struct(F.lit(n).alias("column"), _parsed(n, types[n])[0].alias("value"))
+             for n in names]
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+
 
+def date_scores(df: DataFrame, undecided_only: bool = False) -> DataFrame:
+    """Name score plus data score of every column.
 
-def date_scores(df: DataFrame) -> DataFrame:
-    """Name score plus data score of every column."""
-    names = {n: date_name_score(n) for n in df.columns}
-    pairs = [x for n, s in names.items() for x in (F.lit(n), F.lit(s))]
-    name_score = F.element_at(F.create_map(*pairs), F.col("column"))
-    ratio = F.try_divide(F.col("parsed"), F.col("present"))
-    in_range = (F.col("first_year") >= 1950) & (F.col("last_year") <= 2100)
-    unique = F.try_divide(F.col("distinct"), F.col("parsed")) > 0.5
-    data = F.when((ratio >= 0.8) & in_range, F.lit(15) + unique.cast("int") * 10).otherwise(0)
+    Distinct values matter only for columns full of dates in range. With ``undecided_only`` they are
+    counted just for the columns whose score can still change the choice of the best one.
+    """
+    profile = date_profile(df)
+    wanted = [p for p in profile if p["dated"] and p["present"] >= 5]
+    if undecided_only and wanted:
+        best = max(p["name_score"] + 15 for p in wanted)
+        wanted = [p for p in wanted if p["name_score"] + 25 > best - 20]
+    schema = ("pos int, column string, name_score int, dated boolean, present long, parsed long, "
+              "first_year int, last_year int")
+    fields = [f.split()[0] for f in schema.split(", ")]
+    spark = df.sparkSession
+    table = spark.createDataFrame([tuple(p[f] for f in fields) for p in profile], schema)
+    counted = (
+        distinct_values(df, [p["column"] for p in wanted]) if wanted
+        else spark.createDataFrame([], "column string, distinct long")
+    )
+    unique = F.coalesce(F.try_divide(F.col("distinct"), F.col("parsed")) > 0.5, F.lit(False))
+    data = F.when(F.col("dated"), F.lit(15) + unique.cast("int") * 10).otherwise(0)
     few = F.when(F.col("name_score") > 30, F.col("name_score")).otherwise(0)
     score = F.when(F.col("present") < 5, few).otherwise(F.col("name_score") + data)
-    return date_profile(df).withColumn("name_score", name_score).withColumn("score", score)
+    return table.join(counted, "column", "left").withColumn("score", score)
 
 
 def detect_date_scored(df: DataFrame) -> DataFrame:
@@ -150,7 +176,7 @@ def detect_date_scored(df: DataFrame) -> DataFrame:
     When the runner-up is less than 20 points behind, it wins with 20 % more parsed values, or with
     a longer span of years.
     """
-    scores = date_scores(df)
+    scores = date_scores(df, undecided_only=True)
     fits = (F.col("present") > 10) & (F.try_divide(F.col("parsed"), F.col("present")) > 0.9)
     # Without any scored column: the first one that parses, else the first one.
     tier = F.when(F.col("score") > 0, 0).when(fits, 1).otherwise(2)

@@ -162,11 +162,10 @@ s AS (SELECT *, CASE WHEN present < 5 THEN CASE WHEN name > 30 THEN name ELSE 0
 
 
 @query("date_scores", f"""WITH {_date_scores_sql()} SELECT dataset, "column", parsed,
-uniq AS "distinct", CAST(score AS INTEGER) AS score FROM s""")
+CAST(score AS INTEGER) AS score FROM s""")
 def _(spark, folder):
     parts = [D.date_scores(table(spark, folder, t)).select(
-        F.lit(t).alias("dataset"), "column", "parsed", "distinct",
-        F.col("score").cast("int").alias("score")) for t in _DATE_TABLES]
+        F.lit(t).alias("dataset"), "column", "parsed", F.col("score").cast("int").alias("score")) for t in _DATE_TABLES]
     return reduce(DataFrame.unionByName, parts)
 
 
