@@ -128,7 +128,7 @@ def test_gram_ridge_and_lasso_agree_with_dense_solutions(rows):
     g = G.gram(*rows)
     want = np.linalg.solve(x.T @ x + 1.0 * np.eye(x.shape[1]), x.T @ y)
     np.testing.assert_allclose(G.ridge(g, 1.0)[live], want, atol=1e-6)
-    w = G.elastic_net(g, 0.01, 1.0, tol=1e-9)[live]
+    w = G.elastic_net(g, 0.01, 1.0, sweeps=20000, tol=1e-9)[live]
     # Optimality of the lasso: the gradient equals the penalty where w is not 0, else it is smaller.
     grad = x.T @ (y - x @ w) / len(y)
     np.testing.assert_allclose(grad[w != 0], 0.01 * np.sign(w[w != 0]), atol=1e-6)
@@ -214,7 +214,7 @@ def test_regressors_beat_the_naive_forecast(make):
     df = make({k: ("2021-01-02", "D", b * wave * rng.normal(1, 0.03, 600))
                for k, b in (("a", 100), ("b", 900))})
     models = full_registry(lags=14, freq="D", trees=10)
-    wanted = ("naive", "linear", "ridge", "lasso", "knn")
+    wanted = ("naive", "lasso", "elasticnet", "knn", "gbt")
     scores = backtest([models[k] for k in wanted], df)
     mean = dict(scores.groupBy("model").agg(F.avg("mape")).collect())
     assert all(mean[k] < mean["naive"] for k in wanted[1:]), mean
@@ -259,7 +259,10 @@ def test_users_can_plug_in_functions_and_estimators(panel):
     custom = CustomForecaster("last", "Last", lambda h, s: [h["y"].iloc[-1]] * len(s))
     assert forecast(custom, df)["a"][0] == pytest.approx(y["a"][-1])
     plugged = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False)
-    np.testing.assert_allclose(forecast(plugged, df)["b"], np.full(H, y["b"].mean()))
+    np.testing.assert_allclose(forecast(plugged, df)["b"], np.full(H, y["b"][37:].mean()))
+    kept = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False,
+                                warmup="zero")
+    np.testing.assert_allclose(forecast(kept, df)["b"], np.full(H, y["b"].mean()))
     diff = Differenced(Naive(window=149))
     step = (y["c"][-1] - y["c"][0]) / 149
     np.testing.assert_allclose(forecast(diff, df)["c"][0], y["c"][-1] + step)
