@@ -24,7 +24,7 @@ def test_resample_labels_match_pandas(spark, freq, offset):
     days = pd.date_range("2021-12-20", "2023-02-10", freq="5D")
     y = np.arange(len(days), dtype=float)
     rows = spark.createDataFrame(
-        [("a", d.date(), v) for d, v in zip(days, y)], "series_key string, ds date, y double")
+        [("a", d.date(), float(v)) for d, v in zip(days, y)], "series_key string, ds date, y double")
     got = S.fill_gaps(S.resample_sum(rows, freq), freq).toPandas().set_index("ds")["y"].sort_index()
     want = pd.Series(y, index=days).groupby(pd.Grouper(freq=offset)).sum()
     assert list(got.index) == [d.date() for d in want.index]
