@@ -22,19 +22,19 @@ from panelcast.workload.base import (
 
 def _revenue_sql(ctes: str, label: str) -> str:
     return (f"WITH {ctes} SELECT series_key, CAST({label} AS DATE) AS period, "
-            f"{rsql('sum(y)', 3, 'revenue')} FROM series GROUP BY 1, 2")
+            f"{rsql('sum(y)', 0, 'revenue')} FROM series GROUP BY 1, 2")
 
 
 @query("period_revenue", _revenue_sql(NATION_WEEKLY, "last_day(ds)"))
 def _(spark, folder):
     out = G.period_revenue(nation_weekly(spark, folder), "W")
-    return out.withColumn("revenue", rnd(F.col("revenue"), 3))
+    return out.withColumn("revenue", rnd(F.col("revenue"), 0))
 
 
 @query("period_revenue_yearly", _revenue_sql(BRAND_MONTHLY, "date_trunc('year', ds)"))
 def _(spark, folder):
     out = G.period_revenue(brand_monthly(spark, folder), "MS")
-    return out.withColumn("revenue", rnd(F.col("revenue"), 3))
+    return out.withColumn("revenue", rnd(F.col("revenue"), 0))
 
 
 @query("category_share", f"""WITH cells AS (SELECT o_orderpriority, o_orderstatus,
