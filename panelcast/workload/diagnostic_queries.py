@@ -20,18 +20,20 @@ from panelcast.workload.base import (
 )
 
 
-def _revenue_sql(ctes: str, label: str) -> str:
+# Sums of money lie on a decimal grid; the digits are chosen off its rounding ties: three for the
+# weekly panel (two decimals), none for the monthly one (four and more).
+def _revenue_sql(ctes: str, label: str, digits: int) -> str:
     return (f"WITH {ctes} SELECT series_key, CAST({label} AS DATE) AS period, "
-            f"{rsql('sum(y)', 0, 'revenue')} FROM series GROUP BY 1, 2")
+            f"{rsql('sum(y)', digits, 'revenue')} FROM series GROUP BY 1, 2")
 
 
-@query("period_revenue", _revenue_sql(NATION_WEEKLY, "last_day(ds)"))
+@query("period_revenue", _revenue_sql(NATION_WEEKLY, "last_day(ds)", 3))
 def _(spark, folder):
     out = G.period_revenue(nation_weekly(spark, folder), "W")
-    return out.withColumn("revenue", rnd(F.col("revenue"), 0))
+    return out.withColumn("revenue", rnd(F.col("revenue"), 3))
 
 
-@query("period_revenue_yearly", _revenue_sql(BRAND_MONTHLY, "date_trunc('year', ds)"))
+@query("period_revenue_yearly", _revenue_sql(BRAND_MONTHLY, "date_trunc('year', ds)", 0))
 def _(spark, folder):
     out = G.period_revenue(brand_monthly(spark, folder), "MS")
     return out.withColumn("revenue", rnd(F.col("revenue"), 0))
