@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import line_dedup, sharding
+from panelcast.llm import line_dedup, packing, sharding
 from panelcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary that documents are packed with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_min_slack_packing")
+def op4(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), vocabulary(), end_id=1, capacity=2048)
+
+
 @query("op6_sampled_splitters")
 def op6(spark, folder):
     placed = sharding.assign(table(spark, folder, "documents"), shards=8)
