@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import line_dedup, packing, sharding
+from panelcast.llm import langid, line_dedup, packing, sharding, toxicity
+from panelcast.llm.common import held_out
 from panelcast.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,14 @@ def op4(spark, folder):
     return packing.pack(table(spark, folder, "documents"), vocabulary(), end_id=1, capacity=2048)
 
 
+@query("op5_ratio_toxicity")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, folder, "labels")))
+    return toxicity.score(docs, model, threshold=0.3).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op6_sampled_splitters")
 def op6(spark, folder):
     placed = sharding.assign(table(spark, folder, "documents"), shards=8)
@@ -51,6 +60,13 @@ def op6(spark, folder):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op7_language_mixture")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.fit(docs)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "shares")
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
