@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import rows_of, stored
 
-WORDS_KEPT = 600_000
+WORDS_KEPT = 900_000
 """Words whose ids a task remembers; beyond it the memory is emptied."""
+TEXTS = 1000
+"""Texts whose new words are learned together."""
 BLOCKS = 256
 """Blocks that pieces of one length are ranked in, so that no length meets in one task."""
-# Letters whose lower case and normal form are single letters: a run of them is one unit of the
-# tokenizer, and the marks after it are another.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+# Lower-case letters that normalisation leaves alone: a run of them is one unit of the tokenizer, and a
+# run of marks after it another.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+MARKS = ".,;:!?"
 
 
 class WordTokens:
@@ -40,41 +43,51 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.cores: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > WORDS_KEPT:
             self.words.clear()
-            self.cores.clear()
-        new = [w for w in words if w not in self.words]
-        split = {w: m for w in new if (m := PLAIN(w))}
-        cores = list({m[1].lower() for m in split.values()} - self.cores.keys())
-        if cores:
+        known = self.words
+        new = words - known.keys()
+        cores = {w: w.rstrip(MARKS) for w in new if w and w[-1] in MARKS}
+        marks = {w[len(c):] for w, c in cores.items()}
+        single = (new - cores.keys()) | (set(cores.values()) | marks) - known.keys()
+        plain = [w for w in single if PLAIN(w)]
+        if plain:  # one text of all of them, cut where a token ends a word
             ids = np.array(self.tokenizer.encode_batch_fast(
-                [" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
+                [" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(cores):
+            if len(ends) != len(plain):
                 raise ValueError("the vocabulary splits runs of letters")
-            raw, start = ids.tobytes(), 0
-            for core, end in zip(cores, (ends * 4).tolist()):
-                self.cores[core] = raw[start:end]
-                start = end
-        rest = list({m[2] for m in split.values()} | {w for w in new if w not in split})
-        rest = [w for w in rest if w not in self.words]
+            raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+            known.update(zip(plain, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        rest = list(single.difference(plain)) + [w for w, c in cores.items() if not PLAIN(c)]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, m in split.items():
-            self.words[w] = self.cores[m[1].lower()] + self.words[m[2]]
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known.update((w, known[c] + known[w[len(c):]]) for w, c in cores.items() if PLAIN(c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known: set[str] = set()
+        split = []
+        for text in texts:
+            if _latin(text):  # here the tokenizer's lower case is Python's
+                text = text.lower()
+            split.append(text.replace("\n", " ").split(" "))
+        found: set[str] = set()
         for words in split:
-            known.update(words)
-        self.learn(known)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            found.update(words)
+        self.learn(found)
+        ids = self.words.__getitem__
+        return [b"".join([ids(w) for w in words]) for words in split]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @functools.lru_cache(maxsize=1)
@@ -95,8 +108,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 out: list[list] = [[] for _ in names]
                 texts = part.column(1).to_pylist()
                 for doc, ids in zip(part.column(0).to_pylist(), _tokens(tokenizer_path).encode(texts)):
