@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import langid, line_dedup, packing, sharding, toxicity
+from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, toxicity
 from panelcast.llm.common import held_out
 from panelcast.session import ship_package
 
@@ -86,3 +86,27 @@ FROM marked GROUP BY doc_id"""
 def op8(spark, folder):
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"), min_docs=10)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_jaccard_join")
+def op9(spark, folder):
+    return jaccard_join.join_components(table(spark, folder, "documents"), n=4, percent=85)
+
+
+OP10_SQL = r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op10_mtree_search", OP10_SQL)
+def op10(spark, folder):
+    return metric_search.search(table(spark, folder, "embeddings"), k=20, every=20)

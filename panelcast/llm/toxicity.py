@@ -21,11 +21,13 @@ from panelcast.llm.common import held_out, rows_of
 BITS = 20
 SIZES = (4, 5)
 """Lengths of the n-grams, in bytes of the lower-cased text between two spaces."""
-FIT_ROWS = 8000
+FIT_ROWS = 10_000
 """Labelled rows the model is fitted on, about: a bound of the training sample."""
 LEAST_RATIO = 1.0
 """Features whose log-count ratio is nearer to 0 tell too little and get no weight."""
 LEAST_DOCS = 3
+LEAST_DEVIATION = 5.0
+"""Standard deviations by which a feature's count among label 1 must differ from chance."""
 BLOCK = 1 << 14
 CHUNK = 200
 
@@ -78,7 +80,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows
     return rows_of(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
 
 
-def fit(train: DataFrame, steps: int = 60, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit(train: DataFrame, steps: int = 100, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """Model from ``text`` and ``y`` (0 or 1). Without rows of both labels every text gets the smoothed
     share of label 1."""
     spark = train.sparkSession
@@ -106,7 +108,9 @@ def fit(train: DataFrame, steps: int = 60, rate: float = 0.03, decay: float = 1e
     def ratios(frame: pd.DataFrame) -> pd.DataFrame:
         zero, one = (np.sum([np.frombuffer(v, dtype=np.int32) for v in frame[c]], axis=0) for c in ("zero", "one"))
         r = np.log((one + 1) / (n1 + 2)) - np.log((zero + 1) / (n0 + 2))
-        told = np.flatnonzero((one + zero >= LEAST_DOCS) & (np.abs(r) >= LEAST_RATIO))
+        seen, part = one + zero, n1 / (n1 + n0)
+        off = np.abs(one - seen * part) / np.sqrt(np.maximum(seen, 1) * part * (1 - part))
+        told = np.flatnonzero((seen >= LEAST_DOCS) & (np.abs(r) >= LEAST_RATIO) & (off >= LEAST_DEVIATION))
         return pd.DataFrame({"bucket": told + frame["block"].iloc[0] * BLOCK, "ratio": r[told]})
 
     found = train.select("text", "y").mapInArrow(count, "block int, zero binary, one binary").groupBy(
