@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, toxicity
+from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, substring_dedup, suffix_dedup, toxicity
 from panelcast.llm.common import held_out
 from panelcast.session import ship_package
 
@@ -33,6 +33,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_suffix_array_dedup")
+def op2(spark, folder):
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"), width=100, digest=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.col("kept").cast("string").alias("kept_sha256"), "spans")
+
+
+@query("op3_anchor_dedup")
+def op3(spark, folder):
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"), window=50, digest=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), "spans")
+
+
 def vocabulary() -> str:
     """Place of the public vocabulary that documents are packed with."""
     import public_tokenizers
