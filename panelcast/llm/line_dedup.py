@@ -67,18 +67,40 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("keep"))
 
 
+def kept_lines(text: Column, keep: Column) -> Column:
+    """Lines of ``text`` whose bit is set."""
+    lines = F.split(text, "\n", -1)
+    bit = lambda i: F.call_function("getbit", F.element_at(keep, F.floor(i / 64).cast("int")), (i % 64).cast("int"))
+    return F.when(keep.isNull(), lines).otherwise(
+        F.filter(lines, lambda _, i: F.coalesce(bit(i), F.lit(1)) == 1))
+
+
+def _marked(rows: DataFrame, bitmaps: DataFrame, doc_id: Column, tid: Column) -> DataFrame:
+    marks = bitmaps.select(F.col("doc_id").alias("_b_id"), F.col("tid").alias("_b_tid"), F.col("keep").alias("_keep"))
+    return rows.join(marks, doc_id.eqNullSafe(F.col("_b_id")) & (tid == F.col("_b_tid")), "left")
+
+
+def clean_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, id_col: str = "doc_id",
+                text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with all its columns, the text without the dropped lines; ``length_col`` takes the new
+    number of characters. A null text stays null."""
+    marks = keep_bitmaps(docs, min_docs, keep, min_chars, id_col, text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    joined = _marked(docs, marks, F.col(id_col).cast("long"), F.xxhash64(text))
+    new = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(
+        F.array_join(kept_lines(F.col(text_col), F.col("_keep")), "\n"))
+    out = joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    if length_col:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped`` and the cleaned ``text`` of every row of ``docs``."""
-    rows = rows_of(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
-    marks = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("tid").alias("b_tid"), "keep")
-    joined = rows.join(
-        marks, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tid") == F.col("b_tid")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("keep").isNull(), lines).otherwise(F.filter(
-        lines, lambda line, i: F.coalesce(
-            F.call_function("getbit", F.element_at("keep", F.floor(i / 64).cast("int")),
-                            (i % 64).cast("int")), F.lit(1)) == 1))
+    rows = rows_of(docs, id_col, text_col)
+    joined = _marked(rows, bitmaps, F.col("doc_id"), F.xxhash64("text"))
+    lines, kept = F.split("text", "\n", -1), kept_lines(F.col("text"), F.col("_keep"))
     return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept")).select(
         "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
         F.array_join("kept", "\n").alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, substring_dedup, suffix_dedup, toxicity
+from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, substring_dedup, suffix_dedup, tiling, toxicity
 from panelcast.llm.common import held_out
 from panelcast.session import ship_package
 
@@ -33,6 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_greedy_string_tiling")
+def op1(spark, folder):
+    """Documents that hold benchmark items, with the tiles; clean documents have no row."""
+    return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op2_suffix_array_dedup")
 def op2(spark, folder):
     kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"), width=100, digest=True)

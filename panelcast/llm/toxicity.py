@@ -147,6 +147,19 @@ def fit(train: DataFrame, steps: int = 100, rate: float = 0.03, decay: float = 1
     return Model((w * ratio).astype(np.float32), float(bias))
 
 
+def scores(texts: list[str], model: Model) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    out = np.zeros(len(texts))
+    for at in range(0, len(texts), CHUNK):
+        part = texts[at:at + CHUNK]
+        b, d = gram_buckets(part)
+        told = np.flatnonzero(model.weights[b])
+        b, d = _distinct(b[told], d[told])
+        z = np.bincount(d, weights=model.weights[b], minlength=len(part)) + model.bias
+        out[at:at + CHUNK] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    return out
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` of every row, from the whole text. Null and empty
@@ -155,17 +168,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for at in range(0, batch.num_rows, CHUNK):
-                texts = batch.column(1).slice(at, CHUNK).to_pylist()
-                b, d = gram_buckets(texts)
-                told = np.flatnonzero(sent.value.weights[b])
-                b, d = _distinct(b[told], d[told])
-                z = np.bincount(d, weights=sent.value.weights[b], minlength=len(texts)) + sent.value.bias
-                scores.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-            found = np.concatenate(scores) if scores else np.zeros(0)
+            found = scores(batch.column(1).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
 
     return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, unchanged and without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("").to_pylist()
+            yield batch.filter(pa.array(scores(texts, sent.value) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
