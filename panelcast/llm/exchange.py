@@ -8,6 +8,7 @@ whole corpus apart, so an entry takes 3 to 5 bytes.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -103,6 +104,11 @@ class Words:
         return run_hashes(self.hashes, at, at + n, base), at
 
 
+def text_digests(raw: list[bytes]) -> np.ndarray:
+    """64 bits that stand for each whole text."""
+    return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=8).digest() for r in raw), dtype=np.int64)
+
+
 def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and texts (UTF-8) of a batch, about ``limit`` bytes at a time."""
     ids, texts, size = [], [], 0

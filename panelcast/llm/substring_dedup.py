@@ -25,10 +25,6 @@ SECOND = 0xC2B2AE3D27D4EB4F
 """Base of the second hash of whole windows."""
 
 
-def _digests(words: X.Words) -> np.ndarray:
-    return X.run_hashes(words.hashes, words.firsts[:-1], words.firsts[1:]).view(np.int64)
-
-
 def _probe(batches: Iterator[pa.RecordBatch], block: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Every rolling window of ``block`` words; those at multiples of ``block`` are flagged as anchors."""
     gathered, size, base = [], 0, 0
@@ -43,7 +39,7 @@ def _probe(batches: Iterator[pa.RecordBatch], block: int, buckets: int, bits: in
             h, at = words.windows(block)
             doc = words.doc[at]
             anchor = (at - words.firsts[doc]) % block == 0
-            gathered.append((h, doc.astype(np.int64) + base, anchor, np.array(ids, dtype=np.int64), _digests(words)))
+            gathered.append((h, doc.astype(np.int64) + base, anchor, np.array(ids, dtype=np.int64), X.text_digests(raw)))
             base += len(ids)
             size += len(h)
             if size >= X.FLUSH:

@@ -138,9 +138,7 @@ def _designate(batches: Iterator[pa.RecordBatch], width: int, buckets: int, bits
     for batch in batches:
         for ids, raw in X.chunks(batch):
             h, doc, _, _ = stretches(raw, width)
-            whole = np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True)
-                              for r in raw], dtype=np.int64)
-            gathered.append((h, doc + base, np.array(ids, dtype=np.int64), whole))
+            gathered.append((h, doc + base, np.array(ids, dtype=np.int64), X.text_digests(raw)))
             base += len(ids)
             size += len(h)
             if size >= X.FLUSH:
