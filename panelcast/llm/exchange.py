@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 """Entries a task gathers before it sends them."""
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 BUCKET_BYTES = 8_000_000
 """Bytes of text per bucket of the exchange."""
 
@@ -112,13 +112,15 @@ def text_digests(raw: list[bytes]) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and texts (UTF-8) of a batch, about ``limit`` bytes at a time."""
     ids, texts, size = [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-        ids.append(doc)
-        texts.append(text)
-        size += len(text)
-        if size >= limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            ids.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
