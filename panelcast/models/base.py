@@ -7,6 +7,7 @@ null predictions, so one bad series never stops the panel.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+log = logging.getLogger(__name__)
+
+
 class Forecaster(Protocol):
     id: str
     name: str
@@ -97,14 +101,20 @@ def register_forecaster(model: Forecaster) -> Forecaster:
 def run_models(
     models: Iterable[Forecaster], train: DataFrame, future: DataFrame
 ) -> DataFrame:
-    """Forecasts of all models in one frame with a ``model`` column."""
-    parts = [
-        m.forecast(train, future).select(
-            "series_key", F.lit(m.id).alias("model"), "step", "ds", "yhat"
-        )
-        for m in models
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Forecasts of all models in one frame with a ``model`` column.
+
+    A model whose fit raises gets null predictions, which ``fit_status`` reports as failed; the others
+    go on.
+    """
+    def one(m: Forecaster) -> DataFrame:
+        try:
+            out = m.forecast(train, future)
+        except Exception as error:  # noqa: BLE001 - one model must not stop the others
+            log.warning("model %s failed: %s", m.id, error)
+            out = future.withColumn("yhat", F.lit(None).cast("double"))
+        return out.select("series_key", F.lit(m.id).alias("model"), "step", "ds", "yhat")
+
+    return reduce(DataFrame.unionByName, [one(m) for m in models])
 
 
 def fit_status(forecast: DataFrame) -> DataFrame:

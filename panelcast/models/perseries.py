@@ -18,10 +18,10 @@ from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
 from panelcast.models.base import cogroup_series
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
+    EVERY,
     ROLL_WINDOWS,
     feature_matrix,
     feature_names,
-    longest_series,
 )
 from panelcast.operators.series import log1p_transform
 
@@ -34,11 +34,13 @@ def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(train: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and positions of the k nearest training rows, blocks of rows at a time."""
+    """Distances and positions of the k nearest training rows, blocks of rows at a time; a block's
+    differences take 16 MB at most."""
     k = min(k, len(train))
     distances, places = [], []
-    for start in range(0, len(rows), 256):
-        block = rows[start:start + 256]
+    size = max(1, 2_000_000 // max(1, train.size))
+    for start in range(0, len(rows), size):
+        block = rows[start:start + size]
         d = np.sqrt(((block[:, None, :] - train[None, :, :]) ** 2).sum(axis=2))
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         places.append(order)
@@ -144,10 +146,10 @@ class PerSeriesRegressor:
     log: bool = True
     signed: bool = False
     options: dict = field(default_factory=dict, hash=False)
-    warmup: str = "drop"
+    warmup: str = "zero"
 
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
-        longest = longest_series(train)
+        longest = EVERY
         lags, signed, fit = self.lags, self.signed, self.fit
         options, warmup = self.options, self.warmup
         names = feature_names(lags, longest)

@@ -30,10 +30,11 @@ from panelcast.models.predictors import (
 )
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
+    EVERY,
     ROLL_WINDOWS,
     feature_matrix,
-    feature_names,
-    longest_series,
+    model_names,
+    short_windows,
 )
 from panelcast.operators.series import log1p_transform, with_position
 
@@ -66,7 +67,7 @@ class Fitted:
 
     @property
     def names(self) -> list[str]:
-        return feature_names(self.lags, self.longest)
+        return model_names(self.lags, self.longest)
 
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         predictor, lags, longest, signed = self.predictor, self.lags, self.longest, self.signed
@@ -81,7 +82,7 @@ class Fitted:
                 for i, rows in enumerate(batch["calendars"]):
                     calendars[i, :counts[i]] = np.stack(rows)
                 paths = roll_forward(values, calendars, batch["use_log"].to_numpy(dtype=bool),
-                                     predict, lags, longest, signed)
+                                     predict, lags, longest, signed, marks=True)
                 yield pd.DataFrame({
                     "series_key": batch["series_key"], "steps": batch["steps"],
                     "dates": batch["dates"],
@@ -111,18 +112,17 @@ class Fitted:
 
 
 def training_frame(
-    train: DataFrame, lags: int, longest: int, log: bool, warmup: str = "drop"
+    train: DataFrame, lags: int, longest: int, log: bool, warmup: str = "zero"
 ) -> DataFrame:
     """Feature rows on the scale the regressor works in.
 
-    The first rows of a series have zeros where their lags and windows reach before its start. Fitted
-    along, they tilt a linear model so far that its recursion can diverge, so up to a quarter of each
-    series is left out; ``warmup="zero"`` keeps them.
+    The first rows of a series have zeros where their lags and windows reach before its start, and marks
+    that say so. ``warmup="drop"`` leaves out up to a quarter of each series.
     """
-    frame = feature_matrix(log1p_transform(train, log), lags, longest)
+    placed = with_position(feature_matrix(log1p_transform(train, log), lags, longest)).withColumns(
+        {f"short_{k}": (F.col("pos") < k).cast("double") for k in short_windows(longest)})
     if warmup == "zero":
-        return frame
-    placed = with_position(frame)
+        return placed.drop("pos", "n")
     return placed.where(F.col("pos") >= warm_rows(F.col("n"))).drop("pos", "n")
 
 
@@ -146,12 +146,12 @@ class PooledRegressor:
     log: bool = True
     signed: bool = False
     options: dict = field(default_factory=dict, hash=False)
-    warmup: str = "drop"
+    warmup: str = "zero"
     pooled: bool = True
 
     def fit(self, train: DataFrame) -> Fitted:
-        longest = longest_series(train)
-        names = feature_names(self.lags, longest)
+        longest = EVERY
+        names = model_names(self.lags, longest)
         frame = training_frame(train, self.lags, longest, self.log, self.warmup)
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         try:

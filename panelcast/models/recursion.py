@@ -12,8 +12,15 @@ from collections.abc import Callable
 
 import numpy as np
 
-from panelcast.operators.features import EWM_SPANS, MAX_LAGS, ROLL_WINDOWS, SEASONAL_LAGS
-from panelcast.operators.series import LOG_BOUNDS, RAW_BOUNDS
+from panelcast.operators.features import (
+    EWM_SPANS,
+    MAX_LAGS,
+    ROLL_WINDOWS,
+    SEASONAL_LAGS,
+    checked_lags,
+    short_windows,
+)
+from panelcast.operators.series import LIMIT, LOG_LIMIT
 
 REACH = max(*SEASONAL_LAGS, *ROLL_WINDOWS, MAX_LAGS)
 Predictor = Callable[[np.ndarray], np.ndarray]
@@ -49,9 +56,10 @@ class History:
     def lag(self, k: int) -> np.ndarray:
         return self.buffer[:, self.end - k]
 
-    def features(self, lags: int, longest: int) -> np.ndarray:
-        """History features of the next period, in the order of ``history_names``."""
-        lags = min(lags, MAX_LAGS)
+    def features(self, lags: int, longest: int, marks: bool = False) -> np.ndarray:
+        """History features of the next period, in the order of ``history_names``, with ``marks`` those
+        of ``model_names``."""
+        checked_lags(lags)
         out = [self.lag(k) for k in range(1, lags + 1)]
         for near, enough in ((2, 2), (7, 8)):
             if lags >= enough:
@@ -69,12 +77,14 @@ class History:
         for span in EWM_SPANS:
             top, bottom = self.means[span]
             out.append(np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0))
+        if marks:
+            out += [(self.length < k).astype(float) for k in short_windows(longest)]
         return np.clip(np.nan_to_num(np.column_stack(out), posinf=0.0, neginf=0.0), -1e15, 1e15)
 
 
 def roll_forward(
     values: list[np.ndarray], calendars: np.ndarray, use_log: np.ndarray, predict: Predictor,
-    lags: int, longest: int, signed: bool,
+    lags: int, longest: int, signed: bool, marks: bool = False,
 ) -> np.ndarray:
     """Predictions ``(series, steps)`` on the original scale.
 
@@ -83,12 +93,11 @@ def roll_forward(
     """
     steps = calendars.shape[1]
     history = History(values, steps)
-    low = np.where(use_log, LOG_BOUNDS[0], RAW_BOUNDS[0])
-    high = np.where(use_log, LOG_BOUNDS[1], RAW_BOUNDS[1])
+    limit = np.where(use_log, LOG_LIMIT, LIMIT)  # only what a number cannot hold is cut
     out = np.empty((len(values), steps))
     for step in range(steps):
-        x = np.hstack([calendars[:, step, :], history.features(lags, longest)])
-        p = np.clip(np.nan_to_num(predict(x), nan=0.0), low, high)
+        x = np.hstack([calendars[:, step, :], history.features(lags, longest, marks)])
+        p = np.clip(np.nan_to_num(predict(x), nan=0.0), -limit, limit)
         out[:, step] = p
         history.append(p)
     with np.errstate(over="ignore"):

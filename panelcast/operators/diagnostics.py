@@ -26,35 +26,38 @@ def period_revenue(series: DataFrame, freq: str) -> DataFrame:
 # Columns tried, in order, for the rows and the columns of the share table.
 SHARE_ROWS = ("Category", "Store_Type", "City", "Season", "Subcategory")
 SHARE_COLUMNS = ("City", "Month", "Season", "Store_Type")
-MAX_SHARE_ROWS = 20
-MAX_SHARE_COLUMNS = 15
 
 
 def share_axes(
-    df: DataFrame, rows: tuple = SHARE_ROWS, columns: tuple = SHARE_COLUMNS
+    df: DataFrame, rows: tuple = SHARE_ROWS, columns: tuple = SHARE_COLUMNS,
+    limit: tuple[int, int] | None = None,
 ) -> tuple[str, str] | None:
-    """Row and column attribute of the share table, or nothing when they have too many values."""
+    """Row and column attribute of the share table, or nothing when there are none. ``limit`` is the
+    most values of each that a chart takes, such as (20, 15)."""
     row = next((c for c in rows if c in df.columns), None)
     column = next((c for c in columns if c in df.columns and c != row), None)
     if row is None or column is None:
         return None
-    sizes = df.agg(F.count_distinct(row), F.count_distinct(column)).first()
-    fits = sizes[0] <= MAX_SHARE_ROWS and sizes[1] <= MAX_SHARE_COLUMNS
-    return (row, column) if fits else None
+    if limit:
+        sizes = df.agg(F.count_distinct(row), F.count_distinct(column)).first()
+        if sizes[0] > limit[0] or sizes[1] > limit[1]:
+            return None
+    return row, column
 
 
 def category_share(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Share of each column value in the row's total, with 0 where a pair does not occur.
 
-    ``row`` and ``column`` come from ``share_axes``, which bounds the number of cells; the facts are
-    summed per cell first, so the pivot works on at most 300 rows.
+    The facts are summed per cell first; everything after works on cells.
     """
     cells = df.groupBy(row, column).agg(F.sum(value).alias("v"))
-    wide = cells.groupBy(row).pivot(column).agg(F.sum("v")).na.fill(0.0)
-    names = [c for c in wide.columns if c != row]
-    total = sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`"))
-    long = wide.withColumn("_total", total).unpivot([row, "_total"], names, column, "v")
-    return long.select(row, column, F.try_divide("v", "_total").alias("share"))
+    labels = cells.agg(F.collect_set(column)).scalar()  # the columns of the table
+    totals = cells.groupBy(row).agg(F.sum("v").alias("_total")).select(
+        F.col(row).alias("_row"), "_total", F.explode(labels).alias("_column"))
+    same = totals["_row"].eqNullSafe(cells[row]) & (totals["_column"] == cells[column])
+    return totals.join(cells, same, "left").select(
+        F.col("_row").alias(row), F.col("_column").alias(column),
+        F.try_divide(F.coalesce("v", F.lit(0.0)), "_total").alias("share"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

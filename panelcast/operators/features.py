@@ -18,12 +18,22 @@ SEASONAL_LAGS = (182, 365)
 ROLL_WINDOWS = (3, 7, 14, 30, 60, 90)
 EWM_SPANS = (7, 30)
 BOUND = 1e15
-# One block of the exponential mean: after so many rows the weight of span 30 is below 1e-14.
+# Every series has every column, whatever the lengths of the others; what reaches before its own start
+# is 0. A smaller number leaves out the columns that look further back.
+EVERY = 1_000_000_000
+# Rows of one block of the exponential mean at least; wider spans take longer blocks.
 EWM_BLOCK = 512
 
 
+def checked_lags(lags: int) -> int:
+    """``lags``, if the feature matrix has so many."""
+    if not 0 <= lags <= MAX_LAGS:
+        raise ValueError(f"between 0 and {MAX_LAGS} lags, not {lags}")
+    return lags
+
+
 def lag_features(lags: int) -> dict[str, Column]:
-    lags = min(lags, MAX_LAGS)
+    checked_lags(lags)
     w, zero = by_time(), F.lit(0.0)
     return {f"lag_{k}": F.coalesce(F.lag("y", k).over(w), zero) for k in range(1, lags + 1)}
 
@@ -42,8 +52,8 @@ def lag_diff(lags: int) -> dict[str, Column]:
     return out
 
 
-def seasonal_lags(longest: int) -> dict[str, Column]:
-    """Half-year and year lags, for panels whose longest series reaches that far."""
+def seasonal_lags(longest: int = EVERY) -> dict[str, Column]:
+    """Half-year and year lags."""
     return {f"lag_{k}": F.coalesce(F.lag("y", k).over(by_time()), F.lit(0.0))
             for k in SEASONAL_LAGS if longest > k}
 
@@ -57,7 +67,7 @@ def window_plan(windows: tuple[int, ...]) -> dict[int, tuple[int, int] | None]:
 
 
 def with_rolling(
-    series: DataFrame, longest: int, windows: tuple[int, ...] = ROLL_WINDOWS
+    series: DataFrame, longest: int = EVERY, windows: tuple[int, ...] = ROLL_WINDOWS
 ) -> DataFrame:
     """Mean, deviation, maximum, minimum and variation of the k rows before; 0 until k rows exist.
 
@@ -103,23 +113,36 @@ def with_rolling(
     return df.select(*base, *out)
 
 
+def ewm_block(span: int) -> int:
+    return max(min(EWM_BLOCK, 300 * (span + 1)), 17 * (span + 1))
+
+
 def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame:
     """Exponentially weighted means of the earlier rows (adjusted weights), one column per span.
 
     The recursion num ← num·(1−a) + y is a weighted prefix sum. It is taken within blocks of rows,
-    where the rescaled weights stay in range, plus the decayed total of the block before. What lies
-    further back weighs less than 1e-14. The cost per row does not depend on the span.
+    where the rescaled weights stay in range, plus the decayed total of the block before. A block has
+    17 times the widest span, so what lies further back weighs less than 1e-14; spans too narrow for
+    the weights of such a block are taken apart. The cost per row does not depend on the span.
     """
+    if min(spans) < 1:
+        raise ValueError("spans are 1 or more")
+    for one in sorted(spans)[1:]:
+        if ewm_block(one) > 300 * (min(spans) + 1):
+            near = tuple(s for s in spans if s < one)
+            wide = tuple(s for s in spans if s >= one)
+            return with_ewm(with_ewm(series, near), wide)
+    size = ewm_block(max(spans))
     key = by_key()
     block = Window.partitionBy("series_key", "_blk")
     upto = block.orderBy("_off").rowsBetween(Window.unboundedPreceding, -1)
     prior = key.orderBy("_blk").rangeBetween(-1, -1)
     zero, pos, off = F.lit(0.0), F.col("_pos").cast("double"), F.col("_off").cast("double")
-    decays = {span: 1.0 - 2.0 / (span + 1.0) for span in spans}
+    decays = {span: max(1.0 - 2.0 / (span + 1.0), 1e-30) for span in spans}  # span 1 keeps the last
     df = (
         series.withColumn("_pos", F.row_number().over(by_time()) - 1)
-        .withColumn("_blk", F.floor(F.col("_pos") / EWM_BLOCK).cast("int"))
-        .withColumn("_off", (F.col("_pos") % EWM_BLOCK).cast("int"))
+        .withColumn("_blk", F.floor(F.col("_pos") / size).cast("int"))
+        .withColumn("_off", (F.col("_pos") % size).cast("int"))
         .withColumns({f"_g{s}": F.col("y") * F.pow(F.lit(d), -off) for s, d in decays.items()})
     )
     # Per row the weighted sum of the earlier rows of its block, and of the whole block; then the
@@ -130,7 +153,7 @@ def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame
     means = {}
     for s, d in decays.items():
         own = F.coalesce(f"_in{s}", zero) * F.pow(F.lit(d), off - 1)
-        carried = F.coalesce(f"_was{s}", zero) * F.pow(F.lit(d), off + (EWM_BLOCK - 1))
+        carried = F.coalesce(f"_was{s}", zero) * F.pow(F.lit(d), off + (size - 1))
         mass = (F.lit(1.0) - F.pow(F.lit(d), pos)) / (1.0 - d)
         means[f"ewm_mean_{s}"] = F.when(pos > 0, (own + carried) / mass).otherwise(zero)
     return df.withColumns(means).drop(
@@ -138,15 +161,9 @@ def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame
     )
 
 
-def longest_series(series: DataFrame) -> int:
-    """Length of the longest series; decides which long windows the panel can have."""
-    sizes = series.groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
-    return int(sizes.agg(F.max("n")).first()[0] or 0)
-
-
 def history_names(lags: int, longest: int) -> list[str]:
     """Names of the history features, in matrix order."""
-    lags = min(lags, MAX_LAGS)
+    checked_lags(lags)
     names = [f"lag_{k}" for k in range(1, lags + 1)]
     names += ["lag_diff_1"] if lags >= 2 else []
     names += ["lag_diff_7"] if lags >= 8 else []
@@ -157,10 +174,21 @@ def history_names(lags: int, longest: int) -> list[str]:
     return names + [f"ewm_mean_{s}" for s in EWM_SPANS]
 
 
-def feature_names(lags: int, longest: int) -> list[str]:
+def feature_names(lags: int, longest: int = EVERY) -> list[str]:
     return [*CALENDAR_NAMES, *history_names(lags, longest)]
 
 
+def short_windows(longest: int = EVERY) -> list[int]:
+    return [k for k in (*SEASONAL_LAGS, *ROLL_WINDOWS) if longest > k]
+
+
+def model_names(lags: int, longest: int = EVERY) -> list[str]:
+    """Inputs of the pooled regressors: the features, and for each long window whether the row lies
+    before its first full one. Without these marks the zeros of early rows tilt a linear model so far
+    that its recursion can diverge."""
+    return [*feature_names(lags, longest), *[f"short_{k}" for k in short_windows(longest)]]
+
+
 def history_features(series: DataFrame, lags: int, longest: int) -> DataFrame:
     """The series with all history columns."""
     # Lags come last: the windows before them then carry narrow rows.
@@ -170,15 +198,12 @@ def history_features(series: DataFrame, lags: int, longest: int) -> DataFrame:
 
 
 def feature_matrix(
-    series: DataFrame, lags: int = 14, longest: int | None = None, warmup: str = "zero"
+    series: DataFrame, lags: int = 14, longest: int = EVERY, warmup: str = "zero"
 ) -> DataFrame:
     """``(series_key, ds, y, features...)``, finite and clipped.
 
-    ``longest`` is the length of the longest series; it is counted when not given.
     ``warmup="drop"`` leaves out the rows whose lags reach before the start of the series.
     """
-    if longest is None:
-        longest = longest_series(series)
     extra = [c for c in series.columns if c not in ("series_key", "ds", "y")]
     # With a finite, bounded target every feature derived from it is finite too.
     series = series.withColumn("y", tidy(F.col("y"), BOUND))
@@ -188,7 +213,7 @@ def feature_matrix(
     )
     if warmup == "drop":
         placed = frame.withColumn("_pos", F.row_number().over(by_time()))
-        frame = placed.where(F.col("_pos") > min(lags, MAX_LAGS)).drop("_pos")
+        frame = placed.where(F.col("_pos") > lags).drop("_pos")
     names = feature_names(lags, longest)
     return frame.select(
         "series_key", "ds", *extra, "y", *names
@@ -199,11 +224,9 @@ def feature_cleanup(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: tidy(F.col(c)) for c in columns})
 
 
-def last_feature_row(series: DataFrame, lags: int = 14, longest: int | None = None) -> DataFrame:
+def last_feature_row(series: DataFrame, lags: int = 14, longest: int = EVERY) -> DataFrame:
     """Features of the newest row only, computed from the tail each of them can reach."""
-    if longest is None:
-        longest = longest_series(series)
-    reach = max(min(lags, MAX_LAGS), max(ROLL_WINDOWS), max(SEASONAL_LAGS) + 1) + 1
+    reach = max(checked_lags(lags), max(ROLL_WINDOWS), max(SEASONAL_LAGS) + 1) + 1
     newest_first = Window.partitionBy("series_key").orderBy(F.desc("ds"))
     tail = (
         series.withColumn("_back", F.row_number().over(newest_first))

@@ -260,19 +260,26 @@ def log1p_transform(series: DataFrame, enabled: bool = True) -> DataFrame:
     )
 
 
-# Bounds of a prediction in log space and in plain space.
-LOG_BOUNDS = (-12.0, 18.0)
-RAW_BOUNDS = (-1e6, 1e10)
-
-
-def bound_prediction(p: Column, use_log: Column) -> Column:
-    clean = finite_or(p, 0.0, 1e300, -1e300)
-    return F.when(use_log, clip(clean, *LOG_BOUNDS)).otherwise(clip(clean, *RAW_BOUNDS))
-
-
-def expm1_inverse(p: Column, use_log: Column, signed: bool = False) -> Column:
-    """Back to the original scale, at or above 0 unless ``signed``."""
-    bounded = bound_prediction(p, use_log)
+# The exponential of more than 709 is not a number any more; predictions have no other bound.
+LOG_LIMIT = 700.0
+LIMIT = 1e300
+
+
+def bound_prediction(
+    p: Column, use_log: Column, log_bounds: tuple[float, float] | None = None,
+    bounds: tuple[float, float] | None = None,
+) -> Column:
+    """Finite predictions. ``log_bounds`` and ``bounds`` cut them in log space and in plain space;
+    by default only what a number cannot hold is cut."""
+    clean = finite_or(p, 0.0, LIMIT, -LIMIT)
+    return F.when(use_log, clip(clean, *(log_bounds or (-LOG_LIMIT, LOG_LIMIT)))).otherwise(
+        clip(clean, *(bounds or (-LIMIT, LIMIT))))
+
+
+def expm1_inverse(p: Column, use_log: Column, signed: bool = False, **limits) -> Column:
+    """Back to the original scale, at or above 0 unless ``signed``; ``limits`` as in
+    ``bound_prediction``."""
+    bounded = bound_prediction(p, use_log, **limits)
     level = F.when(use_log, F.expm1(bounded)).otherwise(bounded)
     return level if signed else F.greatest(level, F.lit(0.0))
 

@@ -12,6 +12,7 @@ from panelcast.models.base import Forecaster, run_models
 from panelcast.operators.metrics import actual_vs_predicted, forecast_metrics
 from panelcast.operators.outlook import future_index
 from panelcast.operators.series import train_test
+from panelcast.plans.folds import is_pooled
 from panelcast.session import cut_lineage
 
 
@@ -39,7 +40,8 @@ def refit_on_full(
 ) -> DataFrame:
     """Each series forecast by its winning model, fitted on all of its rows.
 
-    ``winners`` has ``(series_key, model)``; a model only sees the series it won.
+    ``winners`` has ``(series_key, model)``. A model that learns from several series at once is fitted on
+    all of them, as it was when it was scored, and forecasts the series it won.
     """
     series, winners = cut_lineage(series), cut_lineage(winners)
     future = future_index(series, periods, freq)
@@ -47,8 +49,11 @@ def refit_on_full(
     present = {r[0] for r in winners.select("model").distinct().collect()}
     for m in (m for m in models if m.id in present):
         won = winners.where(F.col("model") == m.id).select("series_key")
-        out = m.forecast(series.join(won, "series_key", "left_semi"),
-                         future.join(won, "series_key", "left_semi"))
+        mine = future.join(won, "series_key", "left_semi")
+        if is_pooled(m):
+            out = run_models([m], series, mine)
+        else:
+            out = run_models([m], series.join(won, "series_key", "left_semi"), mine)
         parts.append(out.select("series_key", F.lit(m.id).alias("model"), "step", "ds",
                                 F.greatest("yhat", F.lit(0.0)).alias("yhat")))
     return reduce(DataFrame.unionByName, parts)

@@ -59,14 +59,15 @@ def ensemble_predict(forecast: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 class WeightedEnsemble:
-    """The weighted combination as a forecaster of its own, over the first six models."""
+    """The weighted combination as a forecaster of its own. A model that fails on the validation rows of
+    a series has no weight there."""
 
     id = "weighted_ensemble"
     name = "Weighted Ensemble"
     pooled = True
 
-    def __init__(self, models: Iterable[Forecaster]) -> None:
-        self.models = list(models)[:6]
+    def __init__(self, models: Iterable[Forecaster], limit: int | None = None) -> None:
+        self.models = list(models)[:limit]
 
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         train = cut_lineage(train)
@@ -107,14 +108,17 @@ def stacking_weights(oof: DataFrame, ids: list[str], alpha: float = 1.0) -> Data
 
 
 class Stacking:
-    """Out-of-fold forecasts of up to five models, combined by ridge, bases refitted on all rows."""
+    """Out-of-fold forecasts combined by ridge, bases refitted on all rows."""
 
     id = "stacking"
     name = "Stacking Regressor"
     pooled = True
 
-    def __init__(self, models: Iterable[Forecaster], folds: int = 5, alpha: float = 1.0) -> None:
-        self.models = list(models)[:5]
+    def __init__(
+        self, models: Iterable[Forecaster], folds: int = 5, alpha: float = 1.0,
+        limit: int | None = None,
+    ) -> None:
+        self.models = list(models)[:limit]
         if len(self.models) < 3:
             raise ValueError("stacking needs at least three models")
         self.folds, self.alpha = folds, alpha

@@ -85,19 +85,25 @@ WALK_WINDOW = 30
 WALK_POINTS = 20
 
 
-def walk_forward(model: Forecaster, series: DataFrame) -> DataFrame:
-    """One-step forecasts from about twenty origins per series, each after a refit:
-    ``(series_key, ds, y, yhat, ape)``. Series of at most 60 rows are left out.
+def walk_forward(
+    model: Forecaster, series: DataFrame, window: int = WALK_WINDOW, step: int | None = None,
+    least: int = WALK_MIN,
+) -> DataFrame:
+    """One-step forecasts from origins ``step`` rows apart, each after a refit:
+    ``(series_key, ds, y, yhat, ape)``. The first origin has ``window`` rows, or a quarter of a shorter
+    series; without ``step`` there are about twenty origins. Series of at most ``least`` rows are left
+    out; ``walk_status`` names them.
 
     All origins of all series run together, each as a series of its own that ends at the origin.
     """
     n = F.col("n")
-    window = F.least(F.lit(WALK_WINDOW), F.floor(n / 4).cast("int"))
-    step = F.greatest(F.lit(1), F.floor((n - window) / WALK_POINTS).cast("int"))
+    first = F.least(F.lit(window), F.floor(n / 4).cast("int"))
+    gap = F.lit(step) if step else F.greatest(
+        F.lit(1), F.floor((n - first) / WALK_POINTS).cast("int"))
     sized = series.withColumn("_n", F.count(F.lit(1)).over(by_key())).where(
-        F.col("_n") > WALK_MIN
+        F.col("_n") > least
     ).drop("_n")
-    ends = F.sequence(window, n - 1, step)
+    ends = F.sequence(first, n - 1, gap)
     folds = _explode_folds(sized, ends, F.lit(1))
     scored = _run_folds([model], folds)
     ape = F.abs(F.col("y") - F.col("yhat")) / (F.col("y") + F.lit(1e-9)) * 100
@@ -106,6 +112,12 @@ def walk_forward(model: Forecaster, series: DataFrame) -> DataFrame:
     )
 
 
+def walk_status(series: DataFrame, least: int = WALK_MIN) -> DataFrame:
+    """``scored`` or ``too short`` per series."""
+    return series.groupBy("series_key").agg(F.count(F.lit(1)).alias("n")).select(
+        "series_key", F.when(F.col("n") > least, "scored").otherwise("too short").alias("status"))
+
+
 def walk_forward_accuracy(walk: DataFrame) -> DataFrame:
     return walk.groupBy("series_key").agg(
         F.count(F.lit(1)).alias("origins"), F.avg("ape").alias("mape")

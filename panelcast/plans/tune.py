@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelcast.models import pooled as R
 from panelcast.models.gram import Gram, elastic_net, grams, ridge
 from panelcast.models.pooled import PooledRegressor, training_frame
-from panelcast.operators.features import feature_names, longest_series
+from panelcast.operators.features import EVERY, model_names
 from panelcast.operators.series import with_position
 
 SEED = 42
@@ -126,9 +126,8 @@ def tune_random_search(
     if model.id not in GRIDS:
         return model, spark.createDataFrame([], SEARCH_SCHEMA)
     points = points or sample_grid(GRIDS[model.id])
-    longest = longest_series(series)
-    names = feature_names(model.lags, longest)
-    rows = fold_rows(training_frame(series, model.lags, longest, model.log), k)
+    names = model_names(model.lags, EVERY)
+    rows = fold_rows(training_frame(series, model.lags, EVERY, model.log, model.warmup), k)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model.id in ("ridge", "lasso", "elasticnet"):

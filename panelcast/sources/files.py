@@ -19,20 +19,24 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 def read_sales_csv(
     spark: SparkSession, path: str, schema: StructType | str | None = None,
-    encoding: str | None = None,
+    encoding: str | None = None, multiline: bool = True,
 ) -> DataFrame:
-    """CSV with a header. A given schema saves the pass that finds the types, a given encoding the
-    pass that checks the bytes."""
+    """CSV with a header; quotes inside quotes are doubled. A given schema saves the pass that finds the
+    types, a given encoding the pass that checks the bytes. With ``multiline`` values may hold line
+    breaks, and a file is read by one task; large files without such values are better read without."""
     encoding = encoding or csv_encoding(spark, path)
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    reader = spark.read.option("header", True).option("encoding", encoding).option(
+        "multiLine", multiline).option("quote", '"').option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df.toDF(*[c.removeprefix(BOM) for c in df.columns])
 
 
-def preview_table(df: DataFrame, rows: int = 10) -> tuple[DataFrame, tuple[int, int]]:
-    """First rows, and number of rows and columns."""
-    return df.limit(rows), (df.count(), len(df.columns))
+def preview_table(
+    df: DataFrame, rows: int = 10, order: tuple[str, ...] = ()
+) -> tuple[DataFrame, tuple[int, int]]:
+    """First rows in the given order (by all columns without one), and number of rows and columns."""
+    return df.orderBy(*(order or df.columns)).limit(rows), (df.count(), len(df.columns))
 
 
 def missing_datasets(spark: SparkSession, present: DataFrame) -> DataFrame:

@@ -191,14 +191,14 @@ _hist_query("lag_diff", _DIFF_SQL, lambda: X.lag_diff(14))
 
 @query("rolling_stats", _hist_sql(NATION_WEEKLY, _roll_sql(X.ROLL_WINDOWS)))
 def _(spark, folder):
-    df = X.with_rolling(nation_weekly(spark, folder), longest=343)
+    df = X.with_rolling(nation_weekly(spark, folder))
     return df.select("series_key", "ds", *_rounded(_roll_sql(X.ROLL_WINDOWS)))
 
 
 @query("seasonal_lags", _hist_sql(GLOBAL_DAILY, {f"lag_{k}": _lag(k) for k in (182, 365)}))
 def _(spark, folder):
     df = global_daily(spark, folder)
-    cols = X.seasonal_lags(X.longest_series(df))
+    cols = X.seasonal_lags()
     return df.withColumns(cols).select("series_key", "ds", *_rounded(cols))
 
 
@@ -243,7 +243,8 @@ def _(spark, folder):
                       rnd(F.col("large"), 0).alias("large"))
 
 
-_MATRIX_HIST = {**_lag_sql(14), **_DIFF_SQL, "lag_182": _lag(182), **_roll_sql(X.ROLL_WINDOWS)}
+_MATRIX_HIST = {**_lag_sql(14), **_DIFF_SQL, "lag_182": _lag(182), "lag_365": _lag(365),
+                **_roll_sql(X.ROLL_WINDOWS)}
 
 
 def matrix_sql(tail: str = "") -> str:

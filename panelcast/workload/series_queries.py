@@ -201,8 +201,7 @@ def _(spark, folder):
 @query("expm1_inverse", f"""WITH {EVENT_DAILY}, {_LOGGED}, shifted AS (SELECT *,
   y * 2 - CASE WHEN day(ds) % 3 = 0 THEN 12 ELSE 0 END AS p FROM logged)
 SELECT series_key, ds, {rsql('''greatest(CASE WHEN use_log
-  THEN exp(least(greatest(p, CAST(-12 AS DOUBLE)), CAST(18 AS DOUBLE))) - 1
-  ELSE least(greatest(p, CAST(-1e6 AS DOUBLE)), CAST(1e10 AS DOUBLE)) END,
+  THEN exp(p) - 1 ELSE p END,
   CAST(0 AS DOUBLE))''', 3, 'yhat')} FROM shifted""")
 def _(spark, folder):
     logged = S.log1p_transform(event_daily(spark, folder))

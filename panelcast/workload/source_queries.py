@@ -24,22 +24,29 @@ def _fresh(spark, name: str) -> str:
 
 
 @query("read_sales_csv", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate,
-o_totalprice, o_orderpriority FROM orders""")
+o_totalprice, o_orderpriority, concat('say "', o_orderpriority, '", then', chr(10), 'go') AS note
+FROM orders""")
 def _(spark, folder):
     path = _fresh(spark, "orders-csv")
     table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice",
         "o_orderpriority",
-    ).write.option("header", True).csv(path)
+        F.concat(F.lit('say "'), "o_orderpriority", F.lit('", then\ngo')).alias("note"),
+    ).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return files.read_sales_csv(
-        spark, path, "o_orderkey long, o_orderdate date, o_totalprice double, o_orderpriority string"
+        spark, path, "o_orderkey long, o_orderdate date, o_totalprice double, o_orderpriority string, "
+        "note string"
     )
 
 
-@query("preview_table")
+@query("preview_table", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice,
+  o_orderpriority, CAST((SELECT count(*) FROM orders) AS BIGINT) AS rows, 4 AS columns
+FROM orders ORDER BY o_orderkey LIMIT 10""")
 def _(spark, folder):
-    head, (rows, columns) = files.preview_table(table(spark, folder, "orders"))
-    return head.withColumn("rows", F.lit(rows)).withColumn("columns", F.lit(columns))
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice", "o_orderpriority")
+    head, (rows, columns) = files.preview_table(orders, order=("o_orderkey",))
+    return head.withColumn("rows", F.lit(rows).cast("long")).withColumn("columns", F.lit(columns))
 
 
 SPECS = {
@@ -354,8 +361,9 @@ def _(spark, folder):
     inbox, out = _fresh(spark, "inbox"), _fresh(spark, "answers")
     _messages(spark, folder).write.json(inbox)
 
-    def answer(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(out)
+    def answer(batch: DataFrame, number: int) -> None:
+        # A batch that is retried replaces its own answers.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     Q.request_stream(spark, inbox, _fresh(spark, "marks"), answer).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")

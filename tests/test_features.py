@@ -2,6 +2,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from panelcast.functions import calendar as C
 from panelcast.models.recursion import History
@@ -111,3 +112,16 @@ def test_profiles_give_positive_demand(spark, make):
         low = D.deseasonalise(df, name).agg({"expected": "min"}).first()[0]
         assert low > 0
     assert D.profile_table(spark).count() == 10
+
+
+@pytest.mark.parametrize("span", [1, 2, 30, 365])
+def test_ewm_of_any_span(make, span):
+    y = np.random.default_rng(2).uniform(0, 10, 1500)
+    got = X.with_ewm(make({"a": (FIRST, "D", y)}), (span,)).toPandas().sort_values("ds")[f"ewm_mean_{span}"]
+    want = pd.Series(y).ewm(span=span, adjust=True).mean().shift(1).fillna(0.0)
+    assert got.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+
+
+def test_too_many_lags_are_refused(make):
+    with pytest.raises(ValueError):
+        X.feature_matrix(make({"a": (FIRST, "D", np.arange(50.0))}), lags=31)

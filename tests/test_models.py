@@ -275,3 +275,41 @@ def test_failing_custom_model_gives_null_rows(panel):
     train, test = train_test(panel[0])
     out = CustomForecaster("bad", "Bad", broken).forecast(train, test.drop("y"))
     assert out.where(F.col("yhat").isNotNull()).count() == 0 and out.count() == 90
+
+
+@pytest.mark.parametrize("model", ["linear", "ridge", "gbt"])
+def test_forecast_scales_with_the_series(make, model):
+    """No bound of the log scale: a series times 100 has a forecast times 100, also above e^18."""
+    rng = np.random.default_rng(0)
+    y = 9e5 + 200 * np.arange(200) + 3e4 * np.sin(np.arange(200) / 8) + rng.normal(0, 1e4, 200)
+    paths = []
+    for scale in (1, 100):
+        df = make({"a": ("2020-01-05", "7D", y * scale)})
+        forecaster = full_registry(freq="W", trees=10)[model]
+        path = forecaster.forecast(df, future_index(df, 8, "W")).toPandas().sort_values("step")
+        paths.append(path["yhat"].to_numpy() / scale)
+    assert paths[1] == pytest.approx(paths[0], rel=0.01)
+
+
+def test_a_series_does_not_depend_on_its_neighbours(make):
+    rng = np.random.default_rng(1)
+    short, long = rng.uniform(50, 100, 85), rng.uniform(50, 100, 400)
+    alone = make({"a": ("2022-01-01", "D", short)})
+    panel = make({"a": ("2022-01-01", "D", short), "b": ("2022-01-01", "D", long)})
+    forecaster = full_registry(freq="D")["knn"]
+    one, both = (forecaster.forecast(d, future_index(d, 20, "D")).where("series_key = 'a'").toPandas()
+                 .sort_values("step")["yhat"].to_numpy() for d in (alone, panel))
+    assert both == pytest.approx(one)
+
+
+def test_a_raising_model_fails_alone(make):
+    class Broken:
+        id = name = "broken"
+
+        def forecast(self, train, future):
+            raise RuntimeError("no fit")
+
+    df = make({"a": ("2022-01-01", "D", np.arange(40.0))})
+    out = run_models([Naive(), Broken()], df, future_index(df, 3, "D"))
+    status = {r["model"]: r["status"] for r in fit_status(out).collect()}
+    assert status == {"naive": "ok", "broken": "failed"}
