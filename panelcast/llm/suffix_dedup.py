@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from panelcast.llm import exchange as X
 from panelcast.llm.common import rows_of, stored
 
-GRAM = 24
+GRAM = 32
 """Bytes of the grams that designate positions."""
-PART_BYTES = 6_000_000
-"""Packed bytes of stretches a part of a shard takes."""
+PART_BYTES = 3_000_000
+"""Bytes of stretches a part of a shard takes."""
 U64 = np.uint64
 _POSITION = U64((1 << 31) - 1)
 
@@ -50,17 +50,29 @@ def stretches(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     blocks = padded.reshape(-1, span)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    starts = np.arange(len(data) - width + 1)
-    doc = np.searchsorted(ends, starts, side="right")
-    starts = starts[starts + width <= ends[doc]]
+    owner = np.repeat(np.arange(len(raw)), sizes)[:len(data) - width + 1]
+    starts = np.flatnonzero(np.arange(width, len(data) + 1) <= ends[owner])
     if not len(starts):
         return np.zeros(0, dtype=U64), empty, empty, empty
-    doc = np.searchsorted(ends, starts, side="right")
+    doc = owner[starts]
     place = (np.minimum(behind[starts], ahead[starts + span - 1]) & _POSITION).astype(np.int64)
     first = X.group_starts(place, doc)
     last = np.append(first[1:], len(starts)) - 1
     offset = (ends - sizes)[doc[first]]
-    return grams[place[first]], doc[first], starts[first] - offset, starts[last] - offset
+    # Designated grams have small hashes: mixed again they spread over all buckets.
+    return X.mix(grams[place[first]]), doc[first], starts[first] - offset, starts[last] - offset
+
+
+def _sevens(symbols: np.ndarray) -> np.ndarray:
+    """Seven symbols from each position on as one number, zeros behind the end."""
+    n = len(symbols)
+    padded = np.zeros(n + 7, dtype=np.int64)
+    padded[:n] = symbols
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(7):
+        key <<= 9
+        key |= padded[j:j + n]
+    return key
 
 
 def suffix_array(symbols: np.ndarray, width: int) -> np.ndarray:
@@ -70,11 +82,7 @@ def suffix_array(symbols: np.ndarray, width: int) -> np.ndarray:
     of the suffix that begins where the compared part ends, which doubles what is compared.
     """
     n = len(symbols)
-    padded = np.zeros(n + 7, dtype=np.int64)
-    padded[:n] = symbols
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(7):
-        key = key << 9 | padded[j:j + n]
+    key = _sevens(symbols)
     order = np.argsort(key, kind="stable")
     rank = np.zeros(n + 1, dtype=np.int64)
     sorted_key = key[order]
@@ -115,13 +123,15 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.nd
     fresh[1:] |= before[1:] != before[:-1] + 1
     heads = np.flatnonzero(fresh)
     length = np.zeros(len(heads), dtype=np.int64)
-    live = np.flatnonzero(before[heads] >= 0)
-    while len(live):
-        i, j = heads[live] + length[live], before[heads[live]] + length[live]
-        ok = (i < n) & (j < n) & (length[live] < limit)
-        ok[ok] = symbols[i[ok]] == symbols[j[ok]]
-        live = live[ok]
-        length[live] += 1
+    for values, step in ((_sevens(symbols), 7), (symbols, 1)):
+        live = np.flatnonzero(before[heads] >= 0)
+        while len(live):
+            i, j = heads[live] + length[live], before[heads[live]] + length[live]
+            ok = (np.maximum(i, j) < n) & (length[live] < limit)
+            ok[ok] = values[i[ok]] == values[j[ok]]
+            live = live[ok]
+            length[live] += step
+    length = np.minimum(length, n - np.maximum(heads, before[heads]))
     which = np.cumsum(fresh) - 1
     plcp = np.maximum(length[which] - (at - heads[which]), 0)
     return plcp[order]
@@ -212,10 +222,10 @@ def _settle(batches: Iterator[pa.RecordBatch], width: int, digest: bool) -> Iter
             at += len(ids)
 
 
-SHARDED = "bucket int, payload binary, flags boolean"
+SHARDED = "bucket int, payload binary, flags boolean, size long"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], width: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], width: int, shards: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Stretches with a matched gram to their shards. Of equal stretches a task sends the first only and
     flags the others at once."""
     found: dict[bytes, tuple[int, int, int]] = {}
@@ -226,9 +236,10 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int, buckets: int, bits: int)
         parts: dict[int, list] = {}
         for text, (shard, doc, start) in found.items():
             parts.setdefault(shard, []).append((text, doc, start))
-        numbers, payloads = list(parts), []
+        numbers, payloads, sizes = list(parts), [], []
         for items in parts.values():
             payloads.append(_packed(items))
+            sizes.append(sum(len(text) for text, _, _ in items))
         flags = [False] * len(numbers)
         if later:
             doc, start, count = (np.array(c, dtype=np.int64) for c in zip(*later))
@@ -236,16 +247,17 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int, buckets: int, bits: int)
             numbers += back["bucket"].tolist()
             payloads += back["payload"].tolist()
             flags += [True] * len(back)
+            sizes += [0] * len(back)
         return pa.RecordBatch.from_arrays(
-            [pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary()), pa.array(flags, pa.bool_())],
-            ["bucket", "payload", "flags"])
+            [pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary()), pa.array(flags, pa.bool_()),
+             pa.array(sizes, pa.int64())], ["bucket", "payload", "flags", "size"])
 
     for batch in batches:
         hits, at = batch.column("hits").to_pylist(), 0
         for ids, raw in X.chunks(batch):
             h, doc, first, last = stretches(raw, width)
             cut = h >> U64(64 - bits)
-            shard = X.bucket_of(h, buckets)
+            shard = X.bucket_of(h, shards)
             bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
             for i, text in enumerate(raw):
                 lo, hi = bounds[i], bounds[i + 1]
@@ -424,9 +436,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, digest: bool = False, id_c
     names = [f.split(" ")[0] for f in RESULT.replace("array<struct<start:long,length:long>>", "x").split(", ")]
     done = settled.where("hits is null").select(names)
     pending = settled.where("hits is not null").select("doc_id", "text", "hits")
-    cut = stored(pending.mapInArrow(partial(_cut, width=width, buckets=buckets, bits=bits), SHARDED))
+    cut = stored(pending.mapInArrow(partial(_cut, width=width, shards=2 * buckets, buckets=buckets, bits=bits), SHARDED))
     pieces, flagged = cut.where("not flags"), cut.where("flags").select("bucket", "payload")
-    loads = pieces.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("payload")) / PART_BYTES).cast("int").alias("parts"))
+    loads = pieces.groupBy("bucket").agg(F.ceil(F.sum("size") / PART_BYTES).cast("int").alias("parts"))
     split = pieces.join(loads, "bucket").select(
         "bucket", "payload", "parts", F.pmod(F.xxhash64("payload"), F.col("parts")).cast("int").alias("sub"))
     sorted_ = stored(split.groupBy("bucket", "sub").applyInPandas(
