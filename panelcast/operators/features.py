@@ -127,6 +127,10 @@ def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame
     """
     if min(spans) < 1:
         raise ValueError("spans are 1 or more")
+    if 1 in spans:  # only the last value counts
+        last = F.coalesce(F.lag("y", 1).over(by_time()), F.lit(0.0)).alias("ewm_mean_1")
+        rest = tuple(s for s in spans if s != 1)
+        return (with_ewm(series, rest) if rest else series).select("*", last)
     for one in sorted(spans)[1:]:
         if ewm_block(one) > 300 * (min(spans) + 1):
             near = tuple(s for s in spans if s < one)
@@ -138,7 +142,7 @@ def with_ewm(series: DataFrame, spans: tuple[int, ...] = EWM_SPANS) -> DataFrame
     upto = block.orderBy("_off").rowsBetween(Window.unboundedPreceding, -1)
     prior = key.orderBy("_blk").rangeBetween(-1, -1)
     zero, pos, off = F.lit(0.0), F.col("_pos").cast("double"), F.col("_off").cast("double")
-    decays = {span: max(1.0 - 2.0 / (span + 1.0), 1e-30) for span in spans}  # span 1 keeps the last
+    decays = {span: 1.0 - 2.0 / (span + 1.0) for span in spans}
     df = (
         series.withColumn("_pos", F.row_number().over(by_time()) - 1)
         .withColumn("_blk", F.floor(F.col("_pos") / size).cast("int"))
