@@ -25,7 +25,7 @@ FIT_ROWS = 3000
 ROUNDS = 8
 PENALTY = 3.0
 """Log-likelihood a further language must gain, per natural logarithm of the number of words."""
-CHUNK = 200
+CHUNK = 100
 LETTER = re.compile(r"[^\W\d_]").search
 _LETTER_BYTE = np.zeros(256, dtype=bool)
 _LETTER_BYTE[ord("a"):ord("z") + 1] = True

@@ -29,7 +29,7 @@ LEAST_DOCS = 3
 LEAST_DEVIATION = 5.0
 """Standard deviations by which a feature's count among label 1 must differ from chance."""
 BLOCK = 1 << 14
-CHUNK = 200
+CHUNK = 100
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
