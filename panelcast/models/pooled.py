@@ -32,7 +32,9 @@ from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
     EVERY,
     ROLL_WINDOWS,
+    STAND_IN,
     feature_matrix,
+    level_columns,
     model_names,
     short_windows,
 )
@@ -116,11 +118,16 @@ def training_frame(
 ) -> DataFrame:
     """Feature rows on the scale the regressor works in.
 
-    The first rows of a series have zeros where their lags and windows reach before its start, and marks
-    that say so. ``warmup="drop"`` leaves out up to a quarter of each series.
+    Where a window or a seasonal lag reaches before the start of its series, the exponential mean stands
+    in for it and a mark says so: zeros would tilt a linear model so far that its recursion can diverge.
+    ``warmup="drop"`` leaves out up to a quarter of each series.
     """
-    placed = with_position(feature_matrix(log1p_transform(train, log), lags, longest)).withColumns(
-        {f"short_{k}": (F.col("pos") < k).cast("double") for k in short_windows(longest)})
+    placed = with_position(feature_matrix(log1p_transform(train, log), lags, longest))
+    for k in short_windows(longest):
+        short = F.col("pos") < k
+        placed = placed.withColumns({
+            f"short_{k}": short.cast("double"),
+            **{c: F.when(short, F.col(STAND_IN)).otherwise(F.col(c)) for c in level_columns(k)}})
     if warmup == "zero":
         return placed.drop("pos", "n")
     return placed.where(F.col("pos") >= warm_rows(F.col("n"))).drop("pos", "n")

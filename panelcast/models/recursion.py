@@ -65,15 +65,19 @@ class History:
             if lags >= enough:
                 known = self.length >= near
                 out.append(np.where(known, self.lag(1) - self.lag(near), 0.0))
-        out += [self.lag(k) for k in SEASONAL_LAGS if longest > k]
+        top, bottom = self.means[EWM_SPANS[-1]]
+        level = np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0) if marks else 0.0
+        for k in (k for k in SEASONAL_LAGS if longest > k):
+            out.append(np.where(self.length >= k, self.lag(k), level) if marks else self.lag(k))
         for k in ROLL_WINDOWS:
             if longest > k:
                 full = self.length >= k
                 window = self.buffer[:, self.end - k:self.end]
                 mean, sd = window.mean(axis=1), window.std(axis=1, ddof=1)
                 cv = np.divide(sd, mean + 1e-9, out=np.zeros_like(sd), where=mean + 1e-9 != 0)
-                stats = (mean, sd, window.max(axis=1), window.min(axis=1), cv)
-                out += [np.where(full, s, 0.0) for s in stats]
+                stats = ((mean, level), (sd, 0.0), (window.max(axis=1), level),
+                         (window.min(axis=1), level), (cv, 0.0))
+                out += [np.where(full, s, before) for s, before in stats]
         for span in EWM_SPANS:
             top, bottom = self.means[span]
             out.append(np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0))

@@ -186,10 +186,19 @@ def short_windows(longest: int = EVERY) -> list[int]:
     return [k for k in (*SEASONAL_LAGS, *ROLL_WINDOWS) if longest > k]
 
 
+# What pooled regressors see in place of a level that reaches before the start of its series.
+STAND_IN = f"ewm_mean_{EWM_SPANS[-1]}"
+
+
+def level_columns(k: int) -> list[str]:
+    """Features of window ``k`` that are on the level of the series."""
+    seasonal = [f"lag_{k}"] if k in SEASONAL_LAGS else []
+    return seasonal + ([f"roll_{s}_{k}" for s in ("mean", "max", "min")] if k in ROLL_WINDOWS else [])
+
+
 def model_names(lags: int, longest: int = EVERY) -> list[str]:
     """Inputs of the pooled regressors: the features, and for each long window whether the row lies
-    before its first full one. Without these marks the zeros of early rows tilt a linear model so far
-    that its recursion can diverge."""
+    before its first full one."""
     return [*feature_names(lags, longest), *[f"short_{k}" for k in short_windows(longest)]]
 
 

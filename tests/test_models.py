@@ -258,10 +258,10 @@ def test_users_can_plug_in_functions_and_estimators(panel):
     df, y = panel
     custom = CustomForecaster("last", "Last", lambda h, s: [h["y"].iloc[-1]] * len(s))
     assert forecast(custom, df)["a"][0] == pytest.approx(y["a"][-1])
-    plugged = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False)
+    plugged = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False,
+                                   warmup="drop")
     np.testing.assert_allclose(forecast(plugged, df)["b"], np.full(H, y["b"][37:].mean()))
-    kept = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False,
-                                warmup="zero")
+    kept = P.PerSeriesRegressor("mean", "Mean", P.fit_estimator(MeanEstimator), log=False)
     np.testing.assert_allclose(forecast(kept, df)["b"], np.full(H, y["b"].mean()))
     diff = Differenced(Naive(window=149))
     step = (y["c"][-1] - y["c"][0]) / 149

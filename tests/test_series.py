@@ -79,11 +79,17 @@ def test_log_is_used_only_for_long_non_negative_series(make):
     assert flags == {"a": True, "n": False, "s": False}
 
 
-def test_inverse_is_bounded(spark):
+def test_inverse_is_finite_and_bounded_only_when_asked(spark):
     df = spark.createDataFrame([(float("inf"), True), (50.0, True), (-3.0, False), (None, False)],
                                "p double, use_log boolean")
-    got = [r[0] for r in df.select(S.expm1_inverse(F.col("p"), F.col("use_log"))).collect()]
-    assert got == [np.expm1(18.0), np.expm1(18.0), 0.0, 0.0]
+
+    def inverse(**limits):
+        value = S.expm1_inverse(F.col("p"), F.col("use_log"), **limits)
+        return [r[0] for r in df.select(value).collect()]
+
+    got = inverse()
+    assert np.isfinite(got[0]) and got[1:] == [pytest.approx(np.expm1(50.0)), 0.0, 0.0]
+    assert inverse(log_bounds=(-12.0, 18.0)) == [np.expm1(18.0), np.expm1(18.0), 0.0, 0.0]
 
 
 def test_cleaning_drops_what_does_not_parse(spark):
