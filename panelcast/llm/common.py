@@ -21,7 +21,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -156,6 +156,12 @@ def bucket_count(size: int) -> int:
     return max(64, -(-size // BUCKET_BYTES))
 
 
+def kept_bits(size: int) -> int:
+    """Bits of a hash that tell candidates of ``size`` bytes of text apart: so many that, at any size, about
+    one window in 60,000 meets an unrelated one. Exact comparison follows."""
+    return min(64, max(32, max(1, size).bit_length() + 8))
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket from the top 32 bits: sorted hashes have sorted buckets."""
     return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)

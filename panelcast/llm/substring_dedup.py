@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False, id_c
     rows = rows_of(docs, id_col, text_col)
     size = X.text_bytes(rows)
     buckets = X.bucket_count(size)
-    bits = min(64, max(40, max(1, size).bit_length() + 11))
+    bits = X.kept_bits(size)
     named = rows.where("doc_id is not null")
     sent = named.mapInArrow(partial(_probe, block=block, buckets=buckets, bits=bits), X.SENT)
     hits = matched(sent.groupBy("bucket").applyInPandas(partial(_hits, buckets=buckets), X.SENT))

@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, digest: bool = False, id_c
     rows = rows_of(docs, id_col, text_col)
     size = X.text_bytes(rows)
     buckets = X.bucket_count(size)
-    bits = min(64, max(40, max(1, size).bit_length() + 11))
+    bits = X.kept_bits(size)
     named = rows.where("doc_id is not null")
     sent = named.mapInArrow(partial(_designate, width=width, buckets=buckets, bits=bits), X.SENT)
     hits = sent.groupBy("bucket").applyInPandas(partial(_several, buckets=buckets), X.SENT).groupBy(
