@@ -123,6 +123,7 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[li
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    pa.default_memory_pool().release_unused()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -23,7 +23,7 @@ from panelcast.llm.common import rows_of, stored
 
 WORDS_KEPT = 600_000
 """Words whose ids a task remembers; beyond it the memory is emptied."""
-TEXTS = 1000
+TEXTS = 700
 """Texts whose new words are learned together."""
 BLOCKS = 256
 """Blocks that pieces of one length are ranked in, so that no length meets in one task."""
@@ -120,6 +120,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in zip(out, [pa.int64()] * 4 + [pa.binary()])], names)
+        # A worker goes on to other stages; they need the memory.
+        _tokens(tokenizer_path).words.clear()
+        pa.default_memory_pool().release_unused()
 
     return rows_of(docs, id_col, text_col).mapInArrow(
         cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
