@@ -8,12 +8,14 @@ null predictions, so one bad series never stops the panel.
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,17 +106,34 @@ def run_models(
     """Forecasts of all models in one frame with a ``model`` column.
 
     A model whose fit raises gets null predictions, which ``fit_status`` reports as failed; the others
-    go on.
+    go on. Models that learn from the same feature rows (equal ``shape``) share one stored copy of them.
     """
-    def one(m: Forecaster) -> DataFrame:
+    models = list(models)
+    shapes = [getattr(m, "shape", None) for m in models]
+    frames: dict[tuple, DataFrame] = {}
+
+    def fitted(m: Forecaster, shape: tuple | None) -> DataFrame:
+        if shape is None or shapes.count(shape) == 1:
+            return m.forecast(train, future)
+        if shape not in frames:
+            frames[shape] = m.features(train).persist(StorageLevel.MEMORY_AND_DISK)
+        return m.fit_on(frames[shape]).forecast(train, future)
+
+    def one(m: Forecaster, shape: tuple | None) -> DataFrame:
         try:
-            out = m.forecast(train, future)
+            start = time.monotonic()
+            out = fitted(m, shape)
+            log.info("model %s fitted in %.1f s", m.id, time.monotonic() - start)
         except Exception as error:  # noqa: BLE001 - one model must not stop the others
             log.warning("model %s failed: %s", m.id, error)
             out = future.withColumn("yhat", F.lit(None).cast("double"))
         return out.select("series_key", F.lit(m.id).alias("model"), "step", "ds", "yhat")
 
-    return reduce(DataFrame.unionByName, [one(m) for m in models])
+    try:
+        return reduce(DataFrame.unionByName, map(one, models, shapes))
+    finally:
+        for frame in frames.values():
+            frame.unpersist()
 
 
 def fit_status(forecast: DataFrame) -> DataFrame:

@@ -156,16 +156,25 @@ class PooledRegressor:
     warmup: str = "zero"
     pooled: bool = True
 
+    @property
+    def shape(self) -> tuple:
+        """What the feature rows depend on; models of equal shape can share them."""
+        return self.lags, self.log, self.warmup
+
+    def features(self, train: DataFrame) -> DataFrame:
+        return training_frame(train, self.lags, EVERY, self.log, self.warmup)
+
+    def fit_on(self, frame: DataFrame) -> Fitted:
+        """Fit on the feature rows of a training panel, which the caller has stored."""
+        predictor, importance = self.solve(frame, model_names(self.lags, EVERY), **self.options)
+        return Fitted(predictor, self.lags, EVERY, self.log, self.signed, importance)
+
     def fit(self, train: DataFrame) -> Fitted:
-        longest = EVERY
-        names = model_names(self.lags, longest)
-        frame = training_frame(train, self.lags, longest, self.log, self.warmup)
-        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+        frame = self.features(train).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            predictor, importance = self.solve(frame, names, **self.options)
+            return self.fit_on(frame)
         finally:
             frame.unpersist()
-        return Fitted(predictor, self.lags, longest, self.log, self.signed, importance)
 
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         return self.fit(train).forecast(train, future)

@@ -184,3 +184,41 @@ def test_rupees(spark):
 def test_hold_out_is_never_seen(panel):
     train, test = train_test(panel)
     assert train.join(test, ["series_key", "ds"]).isEmpty()
+
+
+def test_registry_queries_score_every_member(spark, monkeypatch):
+    from panelcast.models.registry import full_registry, quick_registry
+    from panelcast.workload import QUERIES, plan_queries
+
+    asked = []
+
+    def backtest(models, series):
+        asked.append({m.id for m in models})
+        return spark.createDataFrame([], "series_key string, model string, rmse double")
+
+    monkeypatch.setattr(plan_queries, "backtest", backtest)
+    monkeypatch.setattr(plan_queries, "nation_weekly", lambda *_: None)
+    for name, registry in (("model_registry_full", full_registry),
+                           ("model_registry_quick", quick_registry)):
+        QUERIES[name](spark, "").collect()
+        assert asked.pop() == set(registry(freq="W"))
+
+
+def test_pooled_models_share_their_feature_rows(make, monkeypatch):
+    from panelcast.models import base, pooled
+    from panelcast.models.registry import full_registry
+    from panelcast.operators.outlook import future_index
+
+    df = make({"a": ("2020-01-01", "D", [100.0 + i % 7 for i in range(120)])})
+    built = []
+    plain = pooled.training_frame
+    monkeypatch.setattr(pooled, "training_frame", lambda *a: built.append(a) or plain(*a))
+    registry = full_registry(freq="D")
+    models = [registry[k] for k in ("linear", "bayesian_ridge")]
+    future = future_index(df, 3, "D")
+    together = base.run_models(models, df, future)
+    assert len(built) == 1
+    for m in models:
+        alone = {r.step: r.yhat for r in m.forecast(df, future).collect()}
+        shared = {r.step: r.yhat for r in together.where(f"model = '{m.id}'").collect()}
+        assert len(alone) == 3 and all(abs(shared[s] - alone[s]) < 1e-6 for s in alone)
