@@ -26,6 +26,7 @@ from panelcast.models.predictors import (
     FourierPredictor,
     LinearPredictor,
     TreePredictor,
+    joined,
     tree_predictor,
 )
 from panelcast.models.recursion import roll_forward
@@ -272,7 +273,11 @@ def solve_bayesian_ridge(frame: DataFrame, names: list[str]) -> tuple:
 
 
 def _trees(model, average: bool) -> tuple[TreePredictor, np.ndarray]:
-    return tree_predictor(model.toDebugString, average), model.featureImportances.toArray()
+    """The trees are read one by one: the printed form of hundreds of deep ones would not fit a driver."""
+    trees = getattr(model, "trees", [model])
+    weights = getattr(model, "treeWeights", [1.0])
+    parts = (tree_predictor(t.toDebugString, True) for t in trees)
+    return joined(parts, weights, average), model.featureImportances.toArray()
 
 
 def solve_tree(frame: DataFrame, names: list[str], depth: int = 8) -> tuple:

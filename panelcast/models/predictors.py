@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
+# Pairs of row and tree that walk down together; bounds what a task holds of large ensembles.
+CELLS = 500_000
+
 
 @dataclass(frozen=True)
 class LinearPredictor:
@@ -49,6 +53,10 @@ class TreePredictor:
     depth: int
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        size = max(1, CELLS // len(self.roots))
+        return np.concatenate([self._walk(x[i:i + size]) for i in range(0, max(1, len(x)), size)])
+
+    def _walk(self, x: np.ndarray) -> np.ndarray:
         node = np.tile(self.roots, (len(x), 1))
         rows = np.arange(len(x))[:, None]
         for _ in range(self.depth):
@@ -63,6 +71,26 @@ _TREE = re.compile(r"Tree \d+ \(weight ([-+.\dEe]+)\)")
 _SPLIT = re.compile(r"If \(feature (\d+) <= ([-+.\dEe]+)\)")
 
 
+def joined(parts: Iterable[TreePredictor], weights: Iterable[float], average: bool) -> TreePredictor:
+    """One ensemble of single trees, with the weight of each."""
+    parts = list(parts)
+    starts = np.concatenate([[0], np.cumsum([len(p.feature) for p in parts])[:-1]])
+
+    def down(name: str) -> np.ndarray:
+        moved = [np.where(getattr(p, name) >= 0, getattr(p, name) + s, -1)
+                 for p, s in zip(parts, starts, strict=True)]
+        return np.concatenate(moved).astype(np.int32)
+
+    def flat(name: str) -> np.ndarray:
+        return np.concatenate([getattr(p, name) for p in parts])
+
+    return TreePredictor(
+        flat("feature"), flat("threshold"), down("left"), down("right"), flat("value"),
+        starts, np.array(list(weights)) * (1.0 / len(parts) if average else 1.0),
+        max(p.depth for p in parts),
+    )
+
+
 def tree_predictor(description: str, average: bool) -> TreePredictor:
     """Node arrays from the printed form of a Spark tree model (``toDebugString``)."""
     feature, threshold, left, right, value = [], [], [], [], []

@@ -43,14 +43,11 @@ from panelcast.workload.feature_queries import matrix_sql
 from panelcast.workload.model_queries import SEASON, baselines, baselines_sql
 from panelcast.workload.score_queries import METRICS, STEPS, metrics_sql
 
-# Trees per ensemble in the queries; the registry's own counts are 200 to 800.
-TREES = 10
-
 
 def _regressor_query(key: str, model: str) -> None:
     """Hold-out forecasts of one registered model on the weekly panel."""
     def run(spark, folder):
-        chosen = full_registry(freq="W", trees=TREES)[model]
+        chosen = full_registry(freq="W")[model]
         train, test = train_test(cut_lineage(nation_weekly(spark, folder)))
         return chosen.forecast(train, test.drop("y"))
 
@@ -118,7 +115,7 @@ def _(spark, folder):
 # --- importance, registry, persistence -----------------------------------------------------------
 
 def _forest(spark, folder):
-    return full_registry(freq="W", trees=TREES)["random_forest"].fit(
+    return full_registry(freq="W")["random_forest"].fit(
         cut_lineage(nation_weekly(spark, folder)))
 
 
@@ -145,7 +142,7 @@ def _(spark, folder):
 def _registry_query(name: str, registry) -> None:
     """Scores of every member of the registry, with the ids of members that fail."""
     def run(spark, folder):
-        models = registry(freq="W", trees=TREES)
+        models = registry(freq="W")
         scores = backtest(models.values(), nation_weekly(spark, folder))
         names = spark.createDataFrame([(k, m.name) for k, m in models.items()],
                                       "model string, name string")
@@ -293,8 +290,7 @@ def _(spark, folder):
 @query("tune_random_forest")
 def _(spark, folder):
     model = full_registry(freq="W")["random_forest"]
-    points = [{"trees": 5, "depth": d, "leaf": 5} for d in (3, 6)]
-    return tune_random_search(model, cut_lineage(nation_weekly(spark, folder)), points)[1]
+    return tune_random_search(model, cut_lineage(nation_weekly(spark, folder)))[1]
 
 
 @query("adaptive_frequency", f"""WITH {METRICS}, best AS (SELECT * FROM metrics

@@ -222,3 +222,43 @@ def test_pooled_models_share_their_feature_rows(make, monkeypatch):
         alone = {r.step: r.yhat for r in m.forecast(df, future).collect()}
         shared = {r.step: r.yhat for r in together.where(f"model = '{m.id}'").collect()}
         assert len(alone) == 3 and all(abs(shared[s] - alone[s]) < 1e-6 for s in alone)
+
+
+def test_model_queries_run_at_registered_size(spark, monkeypatch):
+    from panelcast.models import pooled
+    from panelcast.workload import QUERIES, plan_queries
+
+    fits, searches = [], []
+    monkeypatch.setattr(pooled.PooledRegressor, "fit", lambda self, _: fits.append(self) or 1 / 0)
+    monkeypatch.setattr(plan_queries, "nation_weekly", lambda *_: None)
+    monkeypatch.setattr(plan_queries, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(plan_queries, "train_test", lambda df: (df, type("Test", (), {"drop": lambda *_: None})()))
+    monkeypatch.setattr(plan_queries, "tune_random_search",
+                        lambda model, series, points=None: searches.append(points) or (model, None))
+    registered = full_registry(freq="W")
+    sized = ["random_forest", "extra_trees", "gbt", "hist_gbt", "xgb_preset", "lgbm_preset",
+             "catboost_preset"]
+    for name in [*(f"model_{k}" for k in sized), "feature_importance", "top_features"]:
+        with pytest.raises(ZeroDivisionError):
+            QUERIES[name](spark, "")
+    assert [m.options for m in fits] == [registered[k].options for k in [*sized, *["random_forest"] * 2]]
+    QUERIES["tune_random_forest"](spark, "")
+    assert searches == [None]
+
+
+def test_tree_by_tree_reading_gives_the_ensemble(make, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from panelcast.models import pooled, predictors
+
+    monkeypatch.setattr(predictors, "CELLS", 7)
+    rows = make({"a": ("2020-01-01", "D", [float(i * i % 17) for i in range(80)])}).selectExpr(
+        "y", "CAST(day(ds) AS DOUBLE) AS u", "CAST(month(ds) AS DOUBLE) AS v")
+    frame = pooled.assemble(rows, ["u", "v"])
+    for model, average in ((RandomForestRegressor(labelCol="y", numTrees=4, seed=1), True),
+                           (GBTRegressor(labelCol="y", maxIter=4, seed=1), False)):
+        fitted = model.fit(frame)
+        got = fitted.transform(frame).collect()
+        predictor, _ = pooled._trees(fitted, average)
+        x = np.array([r.features.toArray() for r in got])
+        assert np.allclose(predictor(x), [r.prediction for r in got])
