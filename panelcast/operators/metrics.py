@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import clip, finite_or
+from panelcast.operators.series import LIMIT
 
 TINY = 1e-6
 GATE = 0.8
@@ -19,10 +20,15 @@ def actual_vs_predicted(test: DataFrame, forecast: DataFrame) -> DataFrame:
     ).select("series_key", "model", "step", "ds", "y", "yhat")
 
 
-def forecast_metrics(scored: DataFrame, keys: tuple[str, ...] = ("series_key", "model")) -> DataFrame:
-    """MAE, MSE, RMSE, R², MAPE, sMAPE and MDAPE per series and model, unrounded."""
+def forecast_metrics(
+    scored: DataFrame, keys: tuple[str, ...] = ("series_key", "model"), bound: float = LIMIT
+) -> DataFrame:
+    """MAE, MSE, RMSE, R², MAPE, sMAPE and MDAPE per series and model, unrounded.
+
+    Forecasts count as at most ``bound``; by default only what a number cannot hold is cut.
+    """
     y = F.col("y")
-    p = clip(finite_or(F.col("yhat"), 0.0, 1e12, 0.0), 0.0, 1e12)
+    p = clip(finite_or(F.col("yhat"), 0.0, bound, 0.0), 0.0, bound)
     err = y - p
     size, both = F.abs(y), F.abs(y) + F.abs(p)
     ape = F.when(size > TINY, F.abs(err) / size * 100)

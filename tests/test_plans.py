@@ -262,3 +262,13 @@ def test_tree_by_tree_reading_gives_the_ensemble(make, monkeypatch):
         predictor, _ = pooled._trees(fitted, average)
         x = np.array([r.features.toArray() for r in got])
         assert np.allclose(predictor(x), [r.prediction for r in got])
+
+
+def test_metrics_of_levels_above_1e12(spark):
+    rows = [("a", m, i, y, y * f) for m, f in (("good", 1.0), ("bad", 2.0))
+            for i, y in enumerate((3e13, 5e13))]
+    df = spark.createDataFrame(rows, "series_key string, model string, step int, y double, yhat double")
+    got = {r.model: r for r in M.forecast_metrics(df).collect()}
+    assert got["good"].rmse == 0.0 and got["good"].r2 == 1.0
+    assert got["bad"].mae == 4e13
+    assert {r.mae for r in M.forecast_metrics(df, bound=1e12).collect()} == {3.9e13}
