@@ -25,26 +25,30 @@ BLOCK = 64
 """Queries that visit pages together."""
 SLACK = 1e-6
 """Relative room for rounding in every bound; scores themselves are exact integers."""
+EXACT = float(1 << 52)
+"""Products of norms up to which float64 adds whole numbers without rounding."""
 
 
 def quantized(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """``id`` and ``v``: each component as floor(scale * x). Rows with a null id, a null or empty vector, or
-    a component that is null, not finite or beyond 31 bits after scaling take no part. Repeated rows count
-    once. Shorter vectors are filled with zeros up to the longest one."""
+    a component that is null or not finite take no part. A component beyond 63 bits after scaling is an error.
+    Repeated rows count once. Shorter vectors are filled with zeros up to the longest one."""
     x = F.col("v")
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     whole = picked.where(F.col("id").isNotNull() & (F.size(x) > 0) & F.forall(
-        x, lambda e: F.coalesce(F.abs(F.floor(e * scale)) < float(1 << 31), F.lit(False)) & ~F.isnan(e)))
-    ints = stored(whole.select("id", F.transform(x, lambda e: F.floor(e * scale).cast("int")).alias("v")))
+        x, lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)) & ~F.isnan(e)))
+    far = F.raise_error(F.lit("a component is beyond 63 bits after scaling")).cast("long")
+    ints = stored(whole.select("id", F.transform(
+        x, lambda e: F.when(F.abs(e * scale) < float(1 << 63), F.floor(e * scale)).otherwise(far)).alias("v")))
     shape = ints.agg(F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
     if shape["lo"] != shape["hi"]:
-        fill = F.array_repeat(F.lit(0), F.lit(shape["hi"]) - F.size("v"))
+        fill = F.array_repeat(F.lit(0).cast("long"), F.lit(shape["hi"]) - F.size("v"))
         ints = stored(ints.select("id", F.concat("v", fill).alias("v")))
     return ints
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+def _matrix(column: pd.Series, dtype=np.float64) -> np.ndarray:
+    return np.array(column.tolist(), dtype=dtype)
 
 
 class Routes:
@@ -79,16 +83,38 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def _visit(queries: np.ndarray, away: np.ndarray, reach: np.ndarray, page: pd.DataFrame, k: int):
+def _room(away: np.ndarray, top: float) -> np.ndarray:
+    """Room for rounding of distances. Near 0 their error grows with the norms, not with themselves."""
+    return SLACK * (1 + away + np.sqrt(top))
+
+
+def _scored(whole: np.ndarray, vectors: np.ndarray, query: np.ndarray, owner: np.ndarray, top: float, k: int):
+    """Positions in ``owner`` that can be among the ``k`` best, with their exact scores."""
+    about = vectors @ query.astype(np.float64)
+    size = np.sqrt((query.astype(np.float64) ** 2).sum() * top)
+    if size < EXACT:
+        return np.arange(len(owner)), about.astype(np.int64)[owner]
+    at = np.arange(len(owner))
+    if len(at) > k:
+        wrong = (len(query) + 4) * 2.0 ** -52 * size
+        each = about[owner]
+        at = np.flatnonzero(each >= np.partition(each, len(each) - k)[len(each) - k] - 2 * wrong)
+    used, place = np.unique(owner[at], return_inverse=True)
+    exact = whole[used].astype(object) @ query.astype(object)
+    return at, np.array(exact.tolist(), dtype=np.int64)[place]
+
+
+def _visit(queries: np.ndarray, away: np.ndarray, reach: np.ndarray, page: pd.DataFrame, k: int, top: float):
     """Results of each query in one page: arrays of score and id. ``away`` is the query's distance to the
-    routing object, ``reach`` the distance its results must not exceed."""
+    routing object, ``reach`` the distance its results must not exceed, ``top`` the largest squared norm."""
     page = page.sort_values("near", kind="stable")
-    near, vectors = page["near"].to_numpy(), _matrix(page["v"])
+    near, whole = page["near"].to_numpy(), _matrix(page["v"], np.int64)
+    vectors = whole.astype(np.float64)
     counts = page["ids"].map(len).to_numpy()
     ids = np.concatenate([np.asarray(i, dtype=np.int64) for i in page["ids"]])
     owner = np.repeat(np.arange(len(page)), counts)
     firsts = np.concatenate([[0], np.cumsum(counts)])
-    room = SLACK * (1 + away)
+    room = _room(away, top)
     lo = np.searchsorted(near, away - reach - room, side="left")
     hi = np.searchsorted(near, away + reach + room, side="right")
     for query, a, b in zip(queries, lo, hi):
@@ -96,9 +122,9 @@ def _visit(queries: np.ndarray, away: np.ndarray, reach: np.ndarray, page: pd.Da
             yield np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
             continue
         part = slice(firsts[a], firsts[b])
-        score = (vectors[a:b] @ query)[owner[part] - a].astype(np.int64)
-        pick = _best(score, ids[part], k)
-        yield score[pick], ids[part][pick]
+        at, score = _scored(whole[a:b], vectors[a:b], query, owner[part] - a, top, k)
+        pick = _best(score, ids[part][at], k)
+        yield score[pick], ids[part][at][pick]
 
 
 def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every: int = 20, id_col: str = "vec_id",
@@ -120,7 +146,7 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
     first = slim.withColumn("r", F.row_number().over(Window.partitionBy("v", "s").orderBy("id"))).where(F.col("r") <= k + 1)
     kept = first.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = stored(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    norm = F.aggregate("v", F.lit(0.0), lambda t, e: t + e.cast("double") * e)
+    norm = F.aggregate("v", F.lit(0.0), lambda t, e: t + e.cast("double") * e.cast("double"))
     size = entries.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).first()
     if not size["n"]:
         return spark.createDataFrame([], out)
@@ -135,7 +161,7 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
                 f["near"] = away.min(axis=1)
                 yield f
 
-    placed = stored(entries.mapInPandas(assign, "v array<int>, ids array<long>, route int, near double"))
+    placed = stored(entries.mapInPandas(assign, "v array<long>, ids array<long>, route int, near double"))
     for r in placed.groupBy("route").agg(F.max("near").alias("far"), F.count(F.lit(1)).alias("n")).collect():
         routes.radii[r["route"]], routes.pages[r["route"]] = r["far"], tally(r["n"], PAGE)
     pages_of = F.element_at(F.array(*[F.lit(max(1, int(n))) for n in routes.pages]), F.col("route") + 1)
@@ -155,16 +181,16 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
     def bound(left: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         reach = np.full(len(left), np.inf)
         if len(left) and len(page):
-            q = _matrix(left["v"])
-            for i, (score, _) in enumerate(_visit(q, left["away"].to_numpy(), reach.copy(), page, k + 1)):
+            whole, q = _matrix(left["v"], np.int64), _matrix(left["v"])
+            for i, (score, _) in enumerate(_visit(whole, left["away"].to_numpy(), reach.copy(), page, k + 1, routes.top)):
                 if len(score) == k + 1:
                     reach[i] = np.sqrt(max(0.0, (q[i] @ q[i]) + routes.top - 2.0 * score[-1]))
         return pd.DataFrame({"v": left["v"], "route": left["route"], "reach": reach})
 
     one_each = asked.select("v").distinct().withColumn("h", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(1 << 30)))
-    started = one_each.mapInPandas(start, "v array<int>, route int, page int, away double")
+    started = one_each.mapInPandas(start, "v array<long>, route int, page int, away double")
     bounded = stored(started.groupBy("route", "page").cogroup(pages.groupBy("route", "page")).applyInPandas(
-        bound, "v array<int>, route int, reach double"))
+        bound, "v array<long>, route int, reach double"))
 
     # Blocks of queries with the same nearest route, then one row per block and page it must visit.
     n_blocks = {r["route"]: tally(r["n"], BLOCK) for r in bounded.groupBy("route").agg(
@@ -174,15 +200,15 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
         "route", "home")
 
     def visits(f: pd.DataFrame) -> pd.DataFrame:
-        q = _matrix(f["v"])
-        away = _distances(_asked(q), routes.objects)
+        q = _matrix(f["v"], np.int64)
+        away = _distances(_asked(q.astype(np.float64)), routes.objects)
         reach = f["reach"].to_numpy()
-        near = away - routes.radii - SLACK * (1 + away) <= reach[:, None]
+        near = away - routes.radii - _room(away, routes.top) <= reach[:, None]
         rows_ = []
         for route in np.argsort((away - routes.radii).min(axis=0)):
             pick = near[:, route]
             if pick.any() and routes.pages[route]:
-                packed = (q[pick].astype(np.int32).tobytes(), away[pick, route].tobytes(), reach[pick].tobytes())
+                packed = (q[pick].tobytes(), away[pick, route].tobytes(), reach[pick].tobytes())
                 rows_ += [(f["home"].iloc[0], f["block"].iloc[0], route, page, int(pick.sum()), *packed)
                           for page in range(routes.pages[route])]
         return pd.DataFrame(rows_, columns=["home", "block", "route", "page", "n", "q", "away", "reach"])
@@ -192,8 +218,8 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
     def compare(left: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         rows_ = []
         for r in left.itertuples() if len(page) else ():
-            q = np.frombuffer(r.q, dtype=np.int32).reshape(r.n, -1).astype(np.float64)
-            got = list(_visit(q, np.frombuffer(r.away), np.frombuffer(r.reach), page, k + 1))
+            q = np.frombuffer(r.q, dtype=np.int64).reshape(r.n, -1)
+            got = list(_visit(q, np.frombuffer(r.away), np.frombuffer(r.reach), page, k + 1, routes.top))
             rows_.append((r.home, r.block, r.page % 64, r.n, r.q, np.array([len(s) for s, _ in got], dtype=np.int32).tobytes(),
                           np.concatenate([s for s, _ in got]).tobytes(), np.concatenate([i for _, i in got]).tobytes()))
         return pd.DataFrame(rows_, columns=["home", "block", "part", "n", "q", "counts", "score", "ids"])
@@ -222,7 +248,7 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
                             columns=["home", "block", "part", "n", "q", "counts", "score", "ids"])
 
     def finish(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(np.frombuffer(q, dtype=np.int32).tolist(), s.tolist(), i.tolist())
+        return pd.DataFrame([(np.frombuffer(q, dtype=np.int64).tolist(), s.tolist(), i.tolist())
                              for q, (s, i) in merged(f).items()], columns=["v", "scores", "found"])
 
     to_visit = grouped.groupBy("home", "block").applyInPandas(
@@ -230,7 +256,7 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 20, every
     results = to_visit.groupBy("route", "page").cogroup(pages.groupBy("route", "page")).applyInPandas(compare, found)
     results = results.groupBy("home", "block", "part").applyInPandas(join_parts, found)
     per_vector = results.groupBy("home", "block").applyInPandas(
-        finish, "v array<int>, scores array<long>, found array<long>")
+        finish, "v array<long>, scores array<long>, found array<long>")
     # The vectors' own rows: every query id of the class, without itself.
     pairs = F.filter(F.arrays_zip("found", "scores"), lambda p: p["found"] != F.col("id"))
     listed = asked.select("id", "v").distinct().join(per_vector, "v").select(

@@ -235,3 +235,23 @@ def test_metric_search_small_tables(spark):
     assert metric_search.search(spark.createDataFrame([(20, [1.0])], schema)).collect() == []
     two = metric_search.search(spark.createDataFrame([(20, [1.0, 2.0]), (21, [1.0])], schema)).collect()
     assert [tuple(r) for r in two] == [(20, 1, 21, 4096)]
+
+
+def test_metric_search_large_components(spark, monkeypatch):
+    monkeypatch.setattr(metric_search, "PAGE", 40)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(1 << 24), 1 << 24, (200, 6)).astype(np.float64) + rng.integers(0, 64, (200, 6)) / 64
+    x[0, 0] = x[20, 0] = x[7, 0] = float(1 << 25)  # 64 times this is beyond 31 bits
+    x[90:130] = x[89]
+    x[90:130, 5] += np.arange(40) / 64  # scores that float64 cannot tell apart
+    x[150:] /= 1 << 20
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in metric_search.search(frame, k=7, every=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = np.floor(64 * x).astype(np.int64).astype(object)
+    for q in range(0, 200, 20):
+        score = v @ v[q]
+        order = [i for i in sorted(range(200), key=lambda i: (-score[i], i)) if i != q][:7]
+        assert sorted(got[q]) == [(k + 1, i, score[i]) for k, i in enumerate(order)]
+    assert set(got) == set(range(0, 200, 20))
