@@ -272,3 +272,19 @@ def test_metrics_of_levels_above_1e12(spark):
     assert got["good"].rmse == 0.0 and got["good"].r2 == 1.0
     assert got["bad"].mae == 4e13
     assert {r.mae for r in M.forecast_metrics(df, bound=1e12).collect()} == {3.9e13}
+
+
+def test_register_forecaster_query_goes_through_the_registry(spark, monkeypatch):
+    from panelcast.models.base import CUSTOM
+    from panelcast.workload import QUERIES, plan_queries
+
+    seen = []
+
+    def registry(**settings):
+        seen.append(full_registry(**settings))
+        return seen[-1]
+
+    monkeypatch.setattr(plan_queries, "full_registry", registry)
+    out = QUERIES["register_forecaster"](spark, "/root/testdata/sf0.001")
+    assert out.where("yhat IS NULL").isEmpty() and not out.isEmpty()
+    assert "drift" in seen[0] and "drift" not in CUSTOM
