@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import jaccard_join, langid, line_dedup, metric_search, packing, sharding, substring_dedup, suffix_dedup, tiling, toxicity
+from panelcast.llm import (
+    centroids, jaccard_join, langid, line_dedup, metric_search, packing, prefix_trie, sanitise, sharding, substring_dedup,
+    suffix_dedup, tiling, toxicity,
+)
 from panelcast.llm.common import held_out
 from panelcast.session import ship_package
 
@@ -129,3 +132,89 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 @query("op10_mtree_search", OP10_SQL)
 def op10(spark, folder):
     return metric_search.search(table(spark, folder, "embeddings"), k=20, every=20)
+
+
+# The checksum of the decimal id, bit by bit.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+checks AS (
+  SELECT c, n, c - c % 20 AS base, (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+      lambda x, y: xor(x // 2, (x % 2) * 3988292384)))) % 4 AS h FROM sizes),
+convs AS (SELECT a.*, least(a.h, coalesce(b.n, 0)) AS lent FROM checks a LEFT JOIN sizes b ON a.base = b.c),
+rows_ AS (
+  SELECT v.c, t.k AS d, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.k <= v.lent
+  UNION ALL SELECT v.c, t.k - v.h + v.lent, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.k > v.h),
+pre AS (
+  SELECT c, d, text, string_agg(sha256(concat(length(role), ':', role, text)), '') OVER (
+    PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS f FROM rows_
+  UNION ALL SELECT c, 0, '', '' FROM convs),
+last_ AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM pre),
+nodes AS (
+  SELECT d, f, min(c) AS c, count(*) AS n, max(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM last_ GROUP BY d, f),
+members AS (SELECT p.c, p.d, p.f, n.c AS node FROM pre p JOIN nodes n ON p.d = n.d AND p.f = n.f),
+kids AS (
+  SELECT n.d, n.f, n.c, m.node AS parent FROM nodes n JOIN members m ON m.c = n.c AND m.d = n.d - 1),
+counted AS (
+  SELECT n.*, k.parent, coalesce(x.n_children, 0) AS n_children FROM nodes n
+  LEFT JOIN kids k ON k.d = n.d AND k.f = n.f
+  LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS n_children FROM kids GROUP BY ALL) x ON x.parent = n.c AND x.d = n.d),
+sums AS (
+  SELECT m.node, m.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.words) AS saved
+  FROM counted u JOIN members m ON m.c = u.c AND m.d <= u.d GROUP BY ALL)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, n.parent AS parent_conv_id, n.n AS n_convs, n.n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON s.node = n.c AND s.d = n.d"""
+
+
+@query("op11_euler_tour_trie", OP11_SQL)
+def op11(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations")).drop("enter", "leave")
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round written out: distances to all centroids, then floors of the means."""
+    floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = [f"""
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM base) WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT b.rid, c.c, CAST(list_sum(list_transform(list_zip(b.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM base b CROSS JOIN c{r} c) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, list({floor} ORDER BY j) AS v FROM (
+      SELECT c, j, sum(x) AS s, count(*) AS n FROM (
+        SELECT a.best.c AS c, unnest(b.v) AS x, generate_subscripts(b.v, 1) AS j FROM a{r} a JOIN base b USING (rid))
+      GROUP BY c, j) GROUP BY c) m ON m.c = o.c)""")
+    return ",".join(steps) + f"""
+SELECT b.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance,
+  CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM base b JOIN a{rounds} a USING (rid) JOIN c{rounds} c ON c.c = a.best.c"""
+
+
+@query("op12_va_file_clusters", _op12_sql())
+def op12(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"), k=40, rounds=5).drop("fetched")
+
+
+@query("op13_information_sanitising")
+def op13(spark, folder):
+    return sanitise.digest(sanitise.personal_data(table(spark, folder, "documents")))
