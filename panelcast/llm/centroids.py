@@ -118,9 +118,9 @@ def _add(totals: np.ndarray, cluster: np.ndarray, v: np.ndarray, sign: int) -> N
 
 def _taken(table: DataFrame, totals: np.ndarray) -> np.ndarray:
     """``totals`` with the sums that the tasks wrote: one number per cluster and component is collected."""
-    parts = table.where(F.col("rid").isNull()).select("cluster", F.posexplode("sums").alias("j", "x"))
-    for r in parts.groupBy("cluster", "j").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():
-        totals[r["cluster"], r["j"]] += int(r["x"])
+    parts = table.where(F.col("rid").isNull()).groupBy("cluster")
+    for r in parts.agg(*[F.sum(F.col("sums")[j].cast("decimal(38,0)")) for j in range(totals.shape[1])]).collect():
+        totals[r["cluster"]] += np.array([int(x) for x in r[1:]], dtype=object)
     return totals
 
 
