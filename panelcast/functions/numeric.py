@@ -31,3 +31,8 @@ def tidy(x: Column, bound: float = 1e15) -> Column:
 def rnd(x: Column, digits: int = 6) -> Column:
     """Round and turn a negative zero into a plain one."""
     return F.round(x, digits) + F.lit(0.0)
+
+
+def not_negative(x: Column) -> Column:
+    """At least 0; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))

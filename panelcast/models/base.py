@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 
 log = logging.getLogger(__name__)
+AT_ONCE = 4
+"""Fits whose jobs the driver starts at the same time."""
 
 
 class Forecaster(Protocol):
@@ -106,31 +109,45 @@ def run_models(
     """Forecasts of all models in one frame with a ``model`` column.
 
     A model whose fit raises gets null predictions, which ``fit_status`` reports as failed; the others
-    go on. Models that learn from the same feature rows (equal ``shape``) share one stored copy of them.
+    go on. Models that learn from the same feature rows (equal ``shape``) share one stored copy of them, tree
+    ensembles among them are fitted in one job, and the jobs of independent fits run at the same time.
     """
     models = list(models)
     shapes = [getattr(m, "shape", None) for m in models]
-    frames: dict[tuple, DataFrame] = {}
-
-    def fitted(m: Forecaster, shape: tuple | None) -> DataFrame:
-        if shape is None or shapes.count(shape) == 1:
-            return m.forecast(train, future)
-        if shape not in frames:
-            frames[shape] = m.features(train).persist(StorageLevel.MEMORY_AND_DISK)
-        return m.fit_on(frames[shape]).forecast(train, future)
+    shared = {s: next(m for m, other in zip(models, shapes, strict=True) if other == s)
+              for s in shapes if s is not None and shapes.count(s) > 1}
+    frames = {s: m.features(train).persist(StorageLevel.MEMORY_AND_DISK) for s, m in shared.items()}
+    groups: dict[tuple, list] = {}
+    for m, s in zip(models, shapes, strict=True):
+        if s in frames and getattr(m, "ensemble", None) is not None:
+            groups.setdefault(s, []).append(m)
+
+    def together(members: list, shape: tuple) -> dict[str, object]:
+        start = time.monotonic()
+        out = dict(zip([m.id for m in members], members[0].fit_all(members, frames[shape]), strict=True))
+        log.info("models %s fitted in %.1f s", ", ".join(out), time.monotonic() - start)
+        return out
 
     def one(m: Forecaster, shape: tuple | None) -> DataFrame:
         try:
             start = time.monotonic()
-            out = fitted(m, shape)
-            log.info("model %s fitted in %.1f s", m.id, time.monotonic() - start)
+            if shape not in frames:
+                out = m.forecast(train, future)
+            elif m in groups.get(shape, ()):
+                out = fits[shape].result()[m.id].forecast(train, future)
+            else:
+                out = m.fit_on(frames[shape]).forecast(train, future)
+            log.info("model %s ready after %.1f s", m.id, time.monotonic() - start)
         except Exception as error:  # noqa: BLE001 - one model must not stop the others
             log.warning("model %s failed: %s", m.id, error)
             out = future.withColumn("yhat", F.lit(None).cast("double"))
         return out.select("series_key", F.lit(m.id).alias("model"), "step", "ds", "yhat")
 
     try:
-        return reduce(DataFrame.unionByName, map(one, models, shapes))
+        with ThreadPoolExecutor(AT_ONCE + len(groups)) as pool:
+            fits = {s: pool.submit(together, members, s) for s, members in groups.items()}
+            parts = list(pool.map(one, models, shapes))
+        return reduce(DataFrame.unionByName, parts)
     finally:
         for frame in frames.values():
             frame.unpersist()

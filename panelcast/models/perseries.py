@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
-from panelcast.models.base import cogroup_series
+from panelcast.models.base import cogroup_series, register_forecaster
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
     EVERY,
@@ -169,7 +169,7 @@ class PerSeriesRegressor:
                     predict, lags, longest, signed,
                 )
                 return out.assign(yhat=path[0])
-            except (ValueError, np.linalg.LinAlgError):
+            except Exception:  # noqa: BLE001 - a failing series becomes null rows
                 return out.assign(yhat=np.nan)
 
         frame = feature_matrix(log1p_transform(train, self.log), lags, longest)
@@ -181,6 +181,12 @@ class PerSeriesRegressor:
         return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
 
 
+def register_estimator(id: str, name: str, make: Callable[[], object], **settings) -> PerSeriesRegressor:
+    """Let any object with ``fit(X, y)`` and ``predict(X)`` take part in every benchmark, its forecasts fed
+    back step by step. ``make`` builds a fresh one for each series."""
+    return register_forecaster(PerSeriesRegressor(id, name, fit_estimator(make), **settings))
+
+
 def neighbor_join(
     train: DataFrame, rows: DataFrame, features: list[str], k: int = 5
 ) -> DataFrame:

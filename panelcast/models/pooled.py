@@ -9,26 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
 from panelcast.models.base import series_arrays
+from panelcast.models.binned import TreeSettings, bin_panel, fit_ensembles
 from panelcast.models.gram import bayesian_ridge, gram, ridge
-from panelcast.models.predictors import (
-    FourierPredictor,
-    LinearPredictor,
-    TreePredictor,
-    joined,
-    tree_predictor,
-)
+from panelcast.models.predictors import FourierPredictor, LinearPredictor
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
     EVERY,
@@ -162,12 +151,19 @@ class PooledRegressor:
         """What the feature rows depend on; models of equal shape can share them."""
         return self.lags, self.log, self.warmup
 
+    @property
+    def ensemble(self) -> TreeSettings | None:
+        """Settings of a tree ensemble; several of them are fitted side by side."""
+        return TreeSettings(**self.options) if self.solve is solve_ensemble else None
+
     def features(self, train: DataFrame) -> DataFrame:
         return training_frame(train, self.lags, EVERY, self.log, self.warmup)
 
     def fit_on(self, frame: DataFrame) -> Fitted:
         """Fit on the feature rows of a training panel, which the caller has stored."""
-        predictor, importance = self.solve(frame, model_names(self.lags, EVERY), **self.options)
+        return self.fitted(*self.solve(frame, model_names(self.lags, EVERY), **self.options))
+
+    def fitted(self, predictor: Callable, importance: np.ndarray | None) -> Fitted:
         return Fitted(predictor, self.lags, EVERY, self.log, self.signed, importance)
 
     def fit(self, train: DataFrame) -> Fitted:
@@ -180,6 +176,16 @@ class PooledRegressor:
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         return self.fit(train).forecast(train, future)
 
+    @staticmethod
+    def fit_all(models: list[PooledRegressor], frame: DataFrame) -> list[Fitted]:
+        """Tree ensembles of equal ``shape``, fitted on one binned copy of their feature rows."""
+        panel = bin_panel(frame, model_names(models[0].lags, EVERY))
+        try:
+            found = fit_ensembles(panel, [m.ensemble for m in models])
+        finally:
+            panel.unpersist()
+        return [m.fitted(*f) for m, f in zip(models, found, strict=True)]
+
     def with_options(self, **options) -> PooledRegressor:
         return replace(self, options={**self.options, **options})
 
@@ -272,53 +278,57 @@ def solve_bayesian_ridge(frame: DataFrame, names: list[str]) -> tuple:
 # --- trees -------------------------------------------------------------------------------------
 
 
-def _trees(model, average: bool) -> tuple[TreePredictor, np.ndarray]:
-    """The trees are read one by one: the printed form of hundreds of deep ones would not fit a driver."""
-    trees = getattr(model, "trees", [model])
-    weights = getattr(model, "treeWeights", [1.0])
-    parts = (tree_predictor(t.toDebugString, True) for t in trees)
-    return joined(parts, weights, average), model.featureImportances.toArray()
-
-
-def solve_tree(frame: DataFrame, names: list[str], depth: int = 8) -> tuple:
-    tree = DecisionTreeRegressor(labelCol="y", maxDepth=depth, maxBins=256, seed=SEED)
-    return _trees(tree.fit(assemble(frame, names)), True)
-
-
-def solve_forest(
-    frame: DataFrame, names: list[str], trees: int = 300, depth: int = 10, leaf: int = 5,
-    subset: str = "all", bootstrap: bool = True, bins: int = 32,
-) -> tuple:
-    forest = RandomForestRegressor(
-        labelCol="y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins,
-        featureSubsetStrategy=subset, bootstrap=bootstrap, seed=SEED,
-    )
-    return _trees(forest.fit(assemble(frame, names)), True)
+def solve_ensemble(frame: DataFrame, names: list[str], **options) -> tuple:
+    """Decision trees, forests and boosted trees: see ``TreeSettings`` for the options."""
+    panel = bin_panel(frame, names)
+    try:
+        return fit_ensembles(panel, [TreeSettings(**options)])[0]
+    finally:
+        panel.unpersist()
 
 
-def solve_boosted(
-    frame: DataFrame, names: list[str], trees: int = 300, rate: float = 0.03, depth: int = 4,
-    leaf: int = 5, rows: float = 1.0, subset: str = "all", bins: int = 32,
-) -> tuple:
-    boosted = GBTRegressor(
-        labelCol="y", maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf,
-        subsamplingRate=rows, featureSubsetStrategy=subset, maxBins=bins, seed=SEED,
-    )
-    return _trees(boosted.fit(assemble(frame, names)), False)
+# --- kernel ------------------------------------------------------------------------------------
 
 
-# --- kernel ------------------------------------------------------------------------------------
+def _tube_sums(expanded: DataFrame, w: np.ndarray, epsilon: float, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums over the rows outside the tube, each weighted by one over its distance to it: moments of the
+    features, moments with the label moved to the tube, and the distances themselves."""
+    size = len(w)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size + 2))
+        for f in batches:
+            z = np.column_stack([np.stack(f["z"]), np.ones(len(f))])
+            y = f["y"].to_numpy(dtype=float)
+            rest = y - z @ w
+            out = np.abs(rest) - epsilon
+            pull = np.where(out > 0, 1.0 / np.maximum(out, least), 0.0)
+            weighted = z * pull[:, None]
+            total[:, :size] += weighted.T @ z
+            total[:, size] += weighted.T @ (y - epsilon * np.sign(rest))
+            total[0, size + 1] += np.maximum(out, 0.0).sum()
+        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+
+    cells = expanded.mapInPandas(partial, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    total = np.zeros((size, size + 2))
+    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas().itertuples():
+        total[r.i, r.j] = r.v
+    return total[:, :size], total[:, size], float(total[0, size + 1])
 
 
 def solve_fourier(
     frame: DataFrame, names: list[str], components: int = 200, c: float = 10.0,
-    epsilon: float = 1.35,
+    epsilon: float = 0.05, rounds: int = 30, tol: float = 1e-3,
 ) -> tuple:
-    """Radial-basis regression through random Fourier features with a robust linear fit."""
-    stats = frame.agg(*[F.avg(x) for x in names], *[F.stddev_pop(x) for x in names]).first()
+    """Support vector regression with a radial-basis kernel through random Fourier features.
+
+    Minimises half the squared weights plus ``c`` times what lies outside the tube of ``epsilon``. Each round is
+    one pass that sums a quadratic bound of the loss at the present weights; its minimum is the next ones.
+    """
+    stats = frame.agg(*[F.avg(x) for x in names], *[F.stddev_pop(x) for x in names], F.avg("y"), F.stddev_pop("y")).first()
     p = len(names)
     mean = np.array(stats[:p], dtype=float)
-    scale = np.array(stats[p:], dtype=float)
+    scale = np.array(stats[p:2 * p], dtype=float)
     scale = np.where(scale > 0, scale, 1.0)
     rng = np.random.default_rng(SEED)
     weights = rng.normal(0.0, np.sqrt(2.0 / p), (p, components))
@@ -331,14 +341,18 @@ def solve_fourier(
             z = fourier.features(batch[names].to_numpy(dtype=float))
             yield pd.DataFrame({"z": list(z), "y": batch["y"]})
 
-    expanded = frame.select(*names, "y").mapInPandas(expand, "z array<double>, y double").select(
-        array_to_vector("z").alias("features"), "y"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    expanded = frame.select(*names, "y").mapInPandas(expand, "z array<double>, y double").persist(StorageLevel.MEMORY_AND_DISK)
+    least = 1e-3 * max(float(stats[-1] or 0.0), 1e-9)
+    w = np.append(np.zeros(components), float(stats[-2] or 0.0))
+    free = np.diag(np.append(np.ones(components), 1e-9))
+    before = np.inf
     try:
-        n = expanded.count()
-        model = LinearRegression(labelCol="y", loss="huber", epsilon=epsilon, regParam=1.0 / (c * n),
-                                 standardization=False, maxIter=200).fit(expanded)
+        for _ in range(rounds):
+            moments, target, outside = _tube_sums(expanded, w, epsilon, least)
+            value = 0.5 * float(w[:-1] @ w[:-1]) + c * outside
+            if not value < before * (1 - tol):
+                break
+            before, w = value, np.linalg.solve(free + c * moments, c * target)
     finally:
         expanded.unpersist()
-    linear = LinearPredictor(model.coefficients.toArray(), float(model.intercept))
-    return replace(fourier, linear=linear), None
+    return replace(fourier, linear=LinearPredictor(w[:-1], float(w[-1]))), None

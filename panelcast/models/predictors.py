@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,65 +63,3 @@ class TreePredictor:
             child = np.where(goes_left, self.left[node], self.right[node])
             node = np.where(inner, child, node)
         return self.value[node] @ self.weights
-
-
-_TREE = re.compile(r"Tree \d+ \(weight ([-+.\dEe]+)\)")
-_SPLIT = re.compile(r"If \(feature (\d+) <= ([-+.\dEe]+)\)")
-
-
-def joined(parts: Iterable[TreePredictor], weights: Iterable[float], average: bool) -> TreePredictor:
-    """One ensemble of single trees, with the weight of each."""
-    parts = list(parts)
-    starts = np.concatenate([[0], np.cumsum([len(p.feature) for p in parts])[:-1]])
-
-    def down(name: str) -> np.ndarray:
-        moved = [np.where(getattr(p, name) >= 0, getattr(p, name) + s, -1)
-                 for p, s in zip(parts, starts, strict=True)]
-        return np.concatenate(moved).astype(np.int32)
-
-    def flat(name: str) -> np.ndarray:
-        return np.concatenate([getattr(p, name) for p in parts])
-
-    return TreePredictor(
-        flat("feature"), flat("threshold"), down("left"), down("right"), flat("value"),
-        starts, np.array(list(weights)) * (1.0 / len(parts) if average else 1.0),
-        max(p.depth for p in parts),
-    )
-
-
-def tree_predictor(description: str, average: bool) -> TreePredictor:
-    """Node arrays from the printed form of a Spark tree model (``toDebugString``)."""
-    feature, threshold, left, right, value = [], [], [], [], []
-    roots, weights, deepest = [], [], 0
-    lines = [line.strip() for line in description.splitlines()[1:] if line.strip()]
-    if not lines[0].startswith("Tree"):
-        lines.insert(0, "Tree 0 (weight 1.0):")
-
-    def node(at: int, depth: int) -> tuple[int, int]:
-        """Read the node at line ``at``; its index and the line after it."""
-        nonlocal deepest
-        deepest = max(deepest, depth)
-        index = len(feature)
-        for column in (feature, left, right):
-            column.append(-1)
-        threshold.append(0.0)
-        value.append(0.0)
-        split = _SPLIT.match(lines[at])
-        if split is None:
-            value[index] = float(lines[at].removeprefix("Predict:"))
-            return index, at + 1
-        feature[index], threshold[index] = int(split[1]), float(split[2])
-        left[index], at = node(at + 1, depth + 1)
-        right[index], at = node(at + 1, depth + 1)  # the line skipped is the matching "Else"
-        return index, at
-
-    at = 0
-    while at < len(lines):
-        weights.append(float(_TREE.match(lines[at])[1]))
-        root, at = node(at + 1, 0)
-        roots.append(root)
-    scale = 1.0 / len(roots) if average else 1.0
-    return TreePredictor(
-        np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value),
-        np.array(roots), np.array(weights) * scale, deepest,
-    )

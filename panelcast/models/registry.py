@@ -32,11 +32,11 @@ def full_registry(
     lags: int = DEFAULT_LAGS, freq: str = "D", trees: int | None = None, season: int | None = None
 ) -> dict[str, Forecaster]:
     """All forecasters. ``trees`` replaces the number of trees of every ensemble; the boosted presets
-    carry the published settings of three boosting libraries on Spark's own trees."""
+    carry the settings and ways of growing of three boosting libraries."""
     season = season or season_length(freq)
 
     def pooled(id: str, name: str, solve, log: bool = True, **options) -> R.PooledRegressor:
-        if trees and "trees" in options:
+        if trees and options.get("trees", 1) > 1:
             options["trees"] = trees
         return R.PooledRegressor(id, name, solve, lags, log, options=options)
 
@@ -54,22 +54,21 @@ def full_registry(
         pooled("elasticnet", "ElasticNet", R.solve_elasticnet, alpha=0.01, ratio=0.5),
         pooled("bayesian_ridge", "Bayesian Ridge", R.solve_bayesian_ridge),
         pooled("huber", "Huber Regressor", R.solve_huber),
-        pooled("decision_tree", "Decision Tree", R.solve_tree, depth=8),
+        pooled("decision_tree", "Decision Tree", R.solve_ensemble, boost=False, trees=1, depth=8),
         P.PerSeriesRegressor("knn", "KNN", P.fit_knn, lags, options={"k": 5}),
         pooled("svr_rff", "SVR (RBF)", R.solve_fourier, log=False),
-        pooled("extra_trees", "Extra Trees", R.solve_forest, trees=200, depth=12, leaf=1,
-               subset="onethird", bootstrap=False, bins=16),
-        pooled("random_forest", "Random Forest", R.solve_forest, trees=300, depth=10, leaf=5),
-        pooled("gbt", "Gradient Boosting", R.solve_boosted, trees=300, rate=0.03, depth=4, leaf=5,
-               rows=0.8),
-        pooled("hist_gbt", "HistGradientBoosting", R.solve_boosted, trees=300, rate=0.03, depth=5,
-               leaf=5, bins=255),
-        pooled("xgb_preset", "XGBoost", R.solve_boosted, trees=500, rate=0.02, depth=5, leaf=5,
-               rows=0.8, subset="0.8"),
-        pooled("lgbm_preset", "LightGBM", R.solve_boosted, trees=500, rate=0.02, depth=5, leaf=10,
-               rows=0.8, subset="0.8"),
-        pooled("catboost_preset", "CatBoost", R.solve_boosted, trees=800, rate=0.03, depth=6,
-               leaf=1),
+        pooled("extra_trees", "Extra Trees", R.solve_ensemble, boost=False, trees=200, depth=12, cut="random"),
+        pooled("random_forest", "Random Forest", R.solve_ensemble, boost=False, trees=300, depth=10, leaf=5,
+               sample="bootstrap"),
+        pooled("gbt", "Gradient Boosting", R.solve_ensemble, trees=300, rate=0.03, depth=4, leaf=5, rows=0.8),
+        pooled("hist_gbt", "HistGradientBoosting", R.solve_ensemble, trees=300, rate=0.03, depth=5, leaf=5, l2=0.1,
+               growth="leaf", leaves=31),
+        pooled("xgb_preset", "XGBoost", R.solve_ensemble, trees=500, rate=0.02, depth=5, leaf=5, l2=1.0, rows=0.8,
+               columns=0.8),
+        pooled("lgbm_preset", "LightGBM", R.solve_ensemble, trees=500, rate=0.02, depth=5, leaf=10, rows=0.8,
+               columns=0.8, growth="leaf", leaves=31),
+        pooled("catboost_preset", "CatBoost", R.solve_ensemble, trees=800, rate=0.03, depth=6, l2=3.0,
+               growth="symmetric", sample="bayesian"),
         P.PerSeriesRegressor("mlp", "MLP Neural Network", P.fit_mlp, lags),
     ]
     return {**{m.id: m for m in models}, **CUSTOM}

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import not_negative
 from panelcast.models.base import Forecaster, run_models
 from panelcast.operators.metrics import actual_vs_predicted, forecast_metrics
 from panelcast.operators.outlook import future_index
@@ -41,7 +42,8 @@ def refit_on_full(
     """Each series forecast by its winning model, fitted on all of its rows.
 
     ``winners`` has ``(series_key, model)``. A model that learns from several series at once is fitted on
-    all of them, as it was when it was scored, and forecasts the series it won.
+    all of them, as it was when it was scored, and forecasts the series it won. Where a winner fails, its
+    forecast is null.
     """
     series, winners = cut_lineage(series), cut_lineage(winners)
     future = future_index(series, periods, freq)
@@ -55,5 +57,5 @@ def refit_on_full(
         else:
             out = run_models([m], series.join(won, "series_key", "left_semi"), mine)
         parts.append(out.select("series_key", F.lit(m.id).alias("model"), "step", "ds",
-                                F.greatest("yhat", F.lit(0.0)).alias("yhat")))
+                                not_negative(F.col("yhat")).alias("yhat")))
     return reduce(DataFrame.unionByName, parts)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.models.base import Forecaster, run_models
+from panelcast.functions.numeric import not_negative
+from panelcast.models.base import Forecaster, cogroup_series, run_models
 from panelcast.operators.joins import oof_matrix
 from panelcast.operators.series import with_position
 from panelcast.plans.folds import out_of_fold
@@ -51,10 +52,11 @@ def ensemble_weights(models: Iterable[Forecaster], series: DataFrame) -> DataFra
 
 
 def ensemble_predict(forecast: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum of the models' forecasts, at or above 0."""
-    value = F.coalesce(F.col("yhat") * F.col("weight"), F.lit(0.0))
+    """Weighted mean of the forecasts there are, at or above 0; null where no weighted model has one."""
+    there = F.when(F.col("yhat").isNotNull(), F.col("weight"))
+    mean = F.try_divide(F.sum(F.col("yhat") * F.col("weight")), F.sum(there))
     return forecast.join(weights, ["series_key", "model"]).groupBy("series_key", "step", "ds").agg(
-        F.greatest(F.sum(value), F.lit(0.0)).alias("yhat")
+        not_negative(mean).alias("yhat")
     )
 
 
@@ -107,8 +109,32 @@ def stacking_weights(oof: DataFrame, ids: list[str], alpha: float = 1.0) -> Data
     return moments.mapInPandas(solve, STACK_SCHEMA)
 
 
+def meta_forecast(oof: DataFrame, wide: DataFrame, ids: list[str], make: Callable[[], object]) -> DataFrame:
+    """Forecasts of a user's meta-model, fitted per series on the out-of-fold forecasts."""
+    actual = oof.groupBy("series_key", "ds").agg(F.first("y").alias("y"))
+    known = oof_matrix(oof, ids).join(actual, ["series_key", "ds"])
+
+    def one(rows: pd.DataFrame, coming: pd.DataFrame) -> pd.DataFrame:
+        out = coming[["series_key", "step", "ds"]]
+        try:
+            rows = rows.sort_values("ds")
+            meta = make()
+            meta.fit(rows[ids].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
+            return out.assign(yhat=np.maximum(np.asarray(meta.predict(coming[ids].to_numpy(dtype=float)), dtype=float), 0.0))
+        except Exception:  # noqa: BLE001 - a failing series becomes null rows
+            return out.assign(yhat=np.nan)
+
+    out = cogroup_series(known, wide, one, "series_key string, step int, ds date, yhat double")
+    return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
+
+
 class Stacking:
-    """Out-of-fold forecasts combined by ridge, bases refitted on all rows."""
+    """Out-of-fold forecasts combined by ridge, bases refitted on all rows. A base that fails counts as the
+    mean of the series.
+
+    ``meta`` makes an object with ``fit(X, y)`` and ``predict(X)`` that takes the place of the ridge; it is
+    fitted once per series, on as many rows as the series has out-of-fold periods.
+    """
 
     id = "stacking"
     name = "Stacking Regressor"
@@ -116,9 +142,10 @@ class Stacking:
 
     def __init__(
         self, models: Iterable[Forecaster], folds: int = 5, alpha: float = 1.0,
-        limit: int | None = None,
+        limit: int | None = None, meta: Callable[[], object] | None = None,
     ) -> None:
         self.models = list(models)[:limit]
+        self.meta = meta
         if len(self.models) < 3:
             raise ValueError("stacking needs at least three models")
         self.folds, self.alpha = folds, alpha
@@ -126,12 +153,17 @@ class Stacking:
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         train = cut_lineage(train)
         ids = [m.id for m in self.models]
-        weights = stacking_weights(out_of_fold(self.models, train, self.folds), ids, self.alpha)
-        base = run_models(self.models, train, future)
+        oof = out_of_fold(self.models, train, self.folds)
+        means = train.groupBy("series_key").agg(F.avg("y").alias("_mean"))
+        base = run_models(self.models, train, future).join(means, "series_key").withColumn(
+            "yhat", F.coalesce("yhat", "_mean"))
         wide = base.groupBy("series_key", "step", "ds").pivot("model", ids).agg(F.first("yhat"))
+        if self.meta is not None:
+            return meta_forecast(oof, wide, ids, self.meta)
+        weights = stacking_weights(oof, ids, self.alpha)
         value = F.col("intercept")
         for i, c in enumerate(ids):
             value = value + F.col("weights")[i] * F.col(c)
         return wide.join(weights, "series_key").select(
-            "series_key", "step", "ds", F.greatest(value, F.lit(0.0)).alias("yhat")
+            "series_key", "step", "ds", not_negative(value).alias("yhat")
         )

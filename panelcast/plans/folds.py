@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.models.base import Forecaster, run_models
@@ -40,6 +40,23 @@ def time_series_folds(series: DataFrame, k: int = 5) -> DataFrame:
     return _explode_folds(series, ends, size)
 
 
+def calendar_folds(series: DataFrame, k: int = 5) -> DataFrame:
+    """k expanding folds cut at the same dates for all series: the last k blocks of the panel's periods are the
+    test parts. No series learns from dates that another one is tested on."""
+    dates = series.select("ds").distinct()  # one row per calendar period
+    n, pos = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(Window.orderBy("ds")) - 1
+    size = F.floor(F.col("n") / (k + 1)).cast("int")
+    block = F.when(F.col("pos") < F.col("n") - k * size, 0).otherwise(
+        1 + F.floor((F.col("pos") - (F.col("n") - k * size)) / F.greatest(size, F.lit(1))))
+    dated = dates.select("ds", pos.alias("pos"), n.alias("n")).select("ds", block.cast("int").alias("block"))
+    # A row of block b is tested in fold b - 1 and trains the folds from b on.
+    placed = series.join(dated, "ds").withColumn("fold", F.explode(F.sequence(
+        F.greatest(F.col("block") - 1, F.lit(0)), F.lit(k - 1)))).where(F.col("block") <= k)
+    part = F.when(F.col("block") <= F.col("fold"), "train").otherwise("test")
+    step = F.row_number().over(Window.partitionBy("series_key", "fold", "part").orderBy("ds"))
+    return placed.withColumn("part", part).select("series_key", "fold", "part", "ds", "y", step.alias("step"))
+
+
 def _run_folds(models: Iterable[Forecaster], folds: DataFrame) -> DataFrame:
     """Forecasts of every fold: ``(series_key, fold, model, step, ds, y, yhat)``.
 
@@ -69,8 +86,11 @@ def _run_folds(models: Iterable[Forecaster], folds: DataFrame) -> DataFrame:
 
 
 def out_of_fold(models: Iterable[Forecaster], series: DataFrame, k: int = 5) -> DataFrame:
-    """Forecasts of the test parts; a failed one becomes the mean of its training part."""
-    folds = cut_lineage(time_series_folds(series, k))
+    """Forecasts of the test parts; a failed one becomes the mean of its training part. With a pooled model
+    among them, the folds are cut by date."""
+    models = list(models)
+    cut = calendar_folds if any(map(is_pooled, models)) else time_series_folds
+    folds = cut_lineage(cut(series, k))
     means = folds.where(F.col("part") == "train").groupBy("series_key", "fold").agg(
         F.avg("y").alias("_mean")
     )

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.models import pooled as R
+from panelcast.models.binned import TreeSettings, bin_panel, fit_ensembles, held_out_errors
 from panelcast.models.gram import Gram, elastic_net, grams, ridge
 from panelcast.models.pooled import PooledRegressor, training_frame
 from panelcast.operators.features import EVERY, model_names
@@ -24,7 +24,7 @@ FOLDS = 2
 MAX_POINTS = 20
 
 _BOOST = {"trees": [300, 500, 800], "rate": [0.01, 0.03, 0.05, 0.1], "depth": [3, 4, 5, 6],
-          "rows": [0.7, 0.8, 0.9], "subset": ["0.7", "0.8", "0.9"]}
+          "rows": [0.7, 0.8, 0.9], "columns": [0.7, 0.8, 0.9]}
 # The search grid of each model, by its id.
 GRIDS: dict[str, dict[str, list]] = {
     "xgb_preset": _BOOST,
@@ -90,15 +90,23 @@ def _linear_scores(
 
 
 def _tree_scores(
-    solve, rows: DataFrame, names: list[str], points: list[dict], k: int
+    model: PooledRegressor, rows: DataFrame, names: list[str], points: list[dict], k: int
 ) -> list[float]:
-    """One Spark ML fit per point and fold, scored inside the tasks."""
+    """Errors of tree ensembles. Points that are stages of the same trees are grown once, and all fits are
+    tasks of one job; a panel of several partitions is fitted and scored point by point."""
+    settings = [TreeSettings(**{**model.options, **p}) for p in points]
+    panel = bin_panel(rows, names, mark="block")
+    try:
+        if panel.parts == 1:
+            return held_out_errors(panel, settings, k)
+    finally:
+        panel.unpersist()
     context = rows.sparkSession.sparkContext
-    out = []
-    for params in points:
-        folds = []
-        for i in range(k):
-            predictor, _ = solve(rows.where(F.col("block") <= i).select("y", *names), names, **params)
+    total = [0.0] * len(points)
+    for i in range(k):
+        binned = bin_panel(rows.where(F.col("block") <= i), names)
+        test = rows.where(F.col("block") == i + 1).select("y", *names)
+        for j, (predictor, _) in enumerate(fit_ensembles(binned, settings)):
             shared = context.broadcast(predictor)
 
             def errors(
@@ -108,10 +116,9 @@ def _tree_scores(
                     p = shared.value(batch[names].to_numpy(dtype=float))
                     yield pd.DataFrame({"miss": np.abs(batch["y"].to_numpy(dtype=float) - p)})
 
-            test = rows.where(F.col("block") == i + 1).select("y", *names)
-            folds.append(test.mapInPandas(errors, "miss double").agg(F.avg("miss")).first()[0])
-        out.append(float(np.mean(folds)))
-    return out
+            total[j] += test.mapInPandas(errors, "miss double").agg(F.avg("miss")).first()[0] / k
+        binned.unpersist()
+    return total
 
 
 def tune_random_search(
@@ -133,8 +140,7 @@ def tune_random_search(
         if model.id in ("ridge", "lasso", "elasticnet"):
             scores = _linear_scores(model.id, rows, names, points, k)
         else:
-            solve = R.solve_forest if model.id == "random_forest" else R.solve_boosted
-            scores = _tree_scores(solve, rows, names, points, k)
+            scores = _tree_scores(model, rows, names, points, k)
     finally:
         rows.unpersist()
     table = [(model.id, json.dumps(p, sort_keys=True), float(s))

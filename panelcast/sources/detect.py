@@ -29,24 +29,28 @@ DATE_SHORT_NAMES = ("dt", "ts", "d", "t")
 FIRST_TARGETS = ("revenue", "final_amount", "sales")
 EXACT_TARGETS = {
     1000: (
-        "total_revenue gross_revenue net_revenue sales_revenue total_sales gross_sales net_sales "
-        "sale sales_amount total_income gross_income net_income income business_income "
-        "total_profit gross_profit net_profit profit operating_profit final_amount gross_margin "
-        "turnover revenue_total sales_total order_value order_amount transaction_value "
-        "transaction_amount sales_value sales_volume sales_income monthly_sales daily_sales "
-        "annual_revenue monthly_revenue annual_sales weekly_revenue weekly_sales"
-    ).split(),
+        "total_revenue", "gross_revenue", "net_revenue", "sales_revenue", "total_sales",
+        "gross_sales", "net_sales", "sale", "sales_amount", "total_income", "gross_income",
+        "net_income", "income", "business_income", "total_profit", "gross_profit", "net_profit",
+        "profit", "operating_profit", "final_amount", "gross_margin", "turnover",
+        "revenue_total", "sales_total", "order_value", "order_amount", "transaction_value",
+        "transaction_amount", "sales_value", "sales_volume", "sales_income", "monthly_sales",
+        "daily_sales", "annual_revenue", "monthly_revenue", "annual_sales", "weekly_revenue",
+        "weekly_sales",
+    ),
     500: (
-        "price value amount invoice_amount billing_amount payment_amount earnings "
-        "operating_income total_earnings purchase_price selling_price unit_price product_price "
-        "avg_price average_price contract_value due_amount amount_paid amount_received "
-        "total_amount gross_amount net_amount profit_margin"
-    ).split(),
+        "price", "value", "amount", "invoice_amount", "billing_amount", "payment_amount",
+        "earnings", "operating_income", "total_earnings", "purchase_price", "selling_price",
+        "unit_price", "product_price", "avg_price", "average_price", "contract_value",
+        "due_amount", "amount_paid", "amount_received", "total_amount", "gross_amount",
+        "net_amount", "profit_margin",
+    ),
     200: (
-        "transaction order billing margin growth volume retail_sales online_sales "
-        "wholesale_sales product_sales revenue_growth sales_growth profit_growth gains proceeds "
-        "quantity qty units count paid received earned"
-    ).split(),
+        "transaction", "order", "billing", "margin", "growth", "volume", "retail_sales",
+        "online_sales", "wholesale_sales", "product_sales", "revenue_growth", "sales_growth",
+        "profit_growth", "gains", "proceeds", "quantity", "qty", "units", "count", "paid",
+        "received", "earned",
+    ),
 }
 PARTIAL_TARGETS = {
     300: ("revenue", "sales", "profit", "income"),

@@ -11,7 +11,7 @@ from panelcast.functions.numeric import rnd
 from panelcast.models.autoregressive import AR, AR1
 from panelcast.models.base import CUSTOM, CustomForecaster, register_forecaster, run_models
 from panelcast.models.baseline import Naive, SeasonalNaive
-from panelcast.models.perseries import knn_one_step, neighbor_join
+from panelcast.models.perseries import knn_one_step, neighbor_join, register_estimator
 from panelcast.models.registry import full_registry, quick_registry
 from panelcast.models.smoothing import HoltWinters
 from panelcast.operators import features as X
@@ -22,13 +22,17 @@ from panelcast.operators.series import split_point, train_test, with_position
 from panelcast.plans import ensemble as E
 from panelcast.plans import folds as L
 from panelcast.plans.backtest import backtest, score_holdout
-from panelcast.plans.run import adaptive_frequency, run_all_datasets, run_rows
+from panelcast.plans.run import adaptive_frequency, run_all_datasets, run_datasets, run_rows
 from panelcast.plans.tune import tune_random_search
 from panelcast.session import cut_lineage, shared_folder
+from panelcast.spec import season_length
+from panelcast.streaming.answers import forecast_answers
+from panelcast.streaming.requests import request_stream
 from panelcast.sources.model_store import load_model, save_model
 from panelcast.sources.tables import read_sales_table
 from panelcast.workload.base import (
     BRAND_MONTHLY,
+    EVENT_DAILY,
     NATION_WEEKLY,
     PLACED,
     brand_monthly,
@@ -42,6 +46,7 @@ from panelcast.workload.base import (
 from panelcast.workload.feature_queries import matrix_sql
 from panelcast.workload.model_queries import SEASON, baselines, baselines_sql
 from panelcast.workload.score_queries import METRICS, STEPS, metrics_sql
+from panelcast.workload.source_queries import _MESSAGES, _fresh, _messages
 
 
 def _regressor_query(key: str, model: str) -> None:
@@ -328,6 +333,76 @@ def _(spark, folder):
     return out.withColumn("rmse", rnd(F.col("rmse"), 2)).withColumn("r2", rnd(F.col("r2")))
 
 
+def future_sql(panel: str, season: int, steps: int, step: str) -> str:
+    """CTE ``scored`` with the baselines fitted on whole series, for the next ``steps`` periods."""
+    full = baselines_sql(panel, season)
+    return f"""{panel}, {PLACED}, train AS (SELECT series_key, ds, y, pos, n FROM placed),
+test AS (SELECT series_key, CAST(h AS INTEGER) AS step, CAST(last_ds + h * {step} AS DATE) AS ds, CAST(NULL AS DOUBLE) AS y
+  FROM (SELECT series_key, max(ds) AS last_ds, unnest(range(1, {steps + 1})) AS h FROM placed GROUP BY 1)),
+{full[full.index("naive AS"):]}"""
+
+
+def best_sql(panel: str, season: int) -> str:
+    return f"""(WITH RECURSIVE {baselines_sql(panel, season)}, {metrics_sql()} SELECT * FROM metrics
+  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) = 1)"""
+
+
+_FREQS = {"weekly": ("W", NATION_WEEKLY, 4), "monthly": ("MS", BRAND_MONTHLY, 12), "daily": ("D", EVENT_DAILY, 7)}
+_EACH = " UNION ALL ".join(f"""SELECT '{name}' AS dataset, '{freq}' AS freq, 'ok' AS status,
+  '{name}/' || series_key AS series_key, model, {rsql('rmse', 2, 'rmse')}, {rsql('r2', 6, 'r2')}
+  FROM {best_sql(panel, season)}""" for name, (freq, panel, season) in _FREQS.items())
+
+
+@query("run_datasets", f"""{_EACH}
+UNION ALL SELECT 'days', 'D', 'too short', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'broken', 'W', 'failed', NULL, NULL, NULL, NULL""")
+def _(spark, folder):
+    """A weekly, a monthly and a daily dataset, one of few days and one without its columns, in one go."""
+    events = read_sales_table(spark, folder, "events", ("event_type",))
+    first = events.groupBy("series_key").agg(F.min("ds").alias("_first"))
+    few = events.join(first, "series_key").where(F.col("ds") < F.date_add("_first", 5)).drop("_first")
+    out = run_datasets({
+        "weekly": (lambda: nation_rows(spark, folder), "W"),
+        "monthly": (lambda: read_sales_table(spark, folder, "lineitem", ("brand",)), "MS"),
+        "daily": (events, "D"), "days": (few, "D"),
+        "broken": (lambda: nation_rows(spark, folder).select("no_such_column"), "W"),
+    }, periods=STEPS, combine=False, models=lambda freq: {m.id: m for m in baselines(season_length(freq))})
+    best = out.best.select("dataset", "series_key", "model", rnd(F.col("rmse"), 2).alias("rmse"), rnd(F.col("r2")).alias("r2"))
+    return out.status.drop("reason").join(best, "dataset", "left")
+
+
+class _LastChange:
+    """A user's estimator: what the newest lag has been off by, on average."""
+
+    def fit(self, x, y):
+        self.shift = float(np.mean(y - x[:, 0])) if len(y) else 0.0
+
+    def predict(self, x):
+        return x[:, 0] + self.shift
+
+
+class _BestColumn:
+    """A user's meta-model: the base that was nearest on the out-of-fold rows."""
+
+    def fit(self, x, y):
+        self.column = int(np.abs(x - y[:, None]).mean(axis=0).argmin())
+
+    def predict(self, x):
+        return x[:, self.column]
+
+
+@query("register_estimator")
+def _(spark, folder):
+    """A user's estimator, taken from the registry, and a user's meta-model, scored beside the baselines."""
+    register_estimator("last_change", "Last change", _LastChange, log=False)
+    try:
+        model = full_registry(freq="W")["last_change"]
+    finally:
+        CUSTOM.pop("last_change")
+    stack = E.Stacking([*baselines()], meta=_BestColumn)
+    return backtest([*baselines(), model, stack], nation_weekly(spark, folder))
+
+
 @query("future_forecast")
 def _(spark, folder):
     models = {m.id: m for m in [Naive(), SeasonalNaive(SEASON), HoltWinters(season=SEASON), AR1()]}
@@ -343,3 +418,28 @@ def _(spark, folder):
                       rnd(F.col("r2")).alias("r2"))
 
 
+# --- answered requests ---------------------------------------------------------------------------
+
+@query("request_answers", f"""WITH {_MESSAGES},
+asked AS (SELECT subject, sender, mode, periods, dataset, count(*) AS messages FROM parsed GROUP BY ALL),
+found AS (SELECT f.series_key || '_2024' AS dataset, f.model, f.step, f.yhat
+  FROM (WITH RECURSIVE {future_sql(EVENT_DAILY, 7, 365, 'INTERVAL 1 DAY')} SELECT * FROM scored) f
+  JOIN {best_sql(EVENT_DAILY, 7)} b ON b.series_key = f.series_key AND b.model = f.model)
+SELECT subject, sender, mode, periods, a.dataset, messages,
+  CASE WHEN count(model) > 0 THEN 'answered' ELSE 'unknown dataset' END AS status, any_value(model) AS model,
+  count(model) AS steps, {rsql('sum(yhat)', 2, 'total')}
+FROM asked a LEFT JOIN found f ON f.dataset = a.dataset AND f.step <= a.periods GROUP BY ALL""")
+def _(spark, folder):
+    """Messages streamed in, their datasets (the events of a kind) forecast, and the answers read back."""
+    inbox, out = _fresh(spark, "inbox"), _fresh(spark, "answers")
+    _messages(spark, folder).write.json(inbox)
+    rows = read_sales_table(spark, folder, "events", ("event_type",)).select(
+        F.concat("series_key", F.lit("_2024")).alias("dataset"), F.lit("all").alias("series_key"), "ds", "y")
+    answer = forecast_answers(rows, "D", out, lambda mode: {m.id: m for m in baselines(7)}, combine=False)
+    request_stream(spark, inbox, _fresh(spark, "marks"), answer).awaitTermination()
+    key = ["subject", "sender", "mode", "periods", "dataset"]
+    totals = spark.read.parquet(f"{out}/forecast").groupBy(*key).agg(
+        F.max("model").alias("model"), F.count(F.lit(1)).alias("steps"), F.sum("yhat").alias("total"))
+    status = spark.read.parquet(f"{out}/status").drop("batch")
+    return status.join(totals, key, "left").select(
+        *key, "messages", "status", "model", F.coalesce("steps", F.lit(0)).alias("steps"), rnd(F.col("total"), 2).alias("total"))

@@ -18,13 +18,13 @@ from panelcast.operators.series import train_test
 from panelcast.plans.backtest import backtest, refit_on_full, score_holdout
 from panelcast.session import cut_lineage, shared_folder
 from panelcast.sources import files
-from panelcast.workload.base import NATION_WEEKLY, nation_weekly, query, rsql
+from panelcast.workload.base import NATION_WEEKLY, PLACED, nation_weekly, query, rsql
 from panelcast.workload.model_queries import SEASON, baselines, baselines_sql
 
 # --- the scored hold-out in SQL ----------------------------------------------------------------
 
 SCORED = f"RECURSIVE {baselines_sql(NATION_WEEKLY)}"
-_P = "least(greatest(coalesce(yhat, 0), 0), CAST(1e12 AS DOUBLE))"
+_P = "least(greatest(coalesce(yhat, 0), 0), CAST(1e300 AS DOUBLE))"
 
 
 def metrics_sql(keys: str = "series_key, model") -> str:
@@ -344,7 +344,18 @@ def _(spark, folder):
     return I.insight_rules(series, forecast, F.lit("2001-08-26").cast("date"))
 
 
-@query("refit_on_full")
+def _refit_sql() -> str:
+    full = baselines_sql(NATION_WEEKLY)
+    return f"""WITH RECURSIVE {NATION_WEEKLY}, {PLACED}, train AS (SELECT series_key, ds, y, pos, n FROM placed),
+test AS (SELECT series_key, CAST(h AS INTEGER) AS step, CAST(last_ds + h * INTERVAL 7 DAY AS DATE) AS ds, CAST(NULL AS DOUBLE) AS y
+  FROM (SELECT series_key, max(ds) AS last_ds, unnest(range(1, {STEPS + 1})) AS h FROM placed GROUP BY 1)),
+{full[full.index("naive AS"):]},
+best AS (SELECT series_key, model FROM (WITH {METRICS} SELECT * FROM metrics
+  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) = 1))
+SELECT series_key, model, step, ds, {rsql('yhat', 2, 'yhat')} FROM scored JOIN best USING (series_key, model)"""
+
+
+@query("refit_on_full", _refit_sql())
 def _(spark, folder):
     series = cut_lineage(nation_weekly(spark, folder))
     winners = R.best_model(backtest(baselines(), series)).select("series_key", "model")

@@ -170,21 +170,26 @@ def test_bayesian_ridge_is_the_evidence_fixed_point(rows):
     np.testing.assert_allclose(got, w, atol=2e-3)
 
 
-@pytest.mark.parametrize("solve,options", [
-    (R.solve_tree, {"depth": 5}), (R.solve_forest, {"trees": 3, "depth": 4}),
-    (R.solve_boosted, {"trees": 4, "depth": 3}),
-])
-def test_node_arrays_predict_like_spark(rows, monkeypatch, solve, options):
-    frame, names = rows
-    kept = {}
-    original = R._trees
-    monkeypatch.setattr(R, "_trees", lambda m, avg: kept.update(m=m) or original(m, avg))
-    predictor, importance = solve(frame, names, **options)
-    want = kept["m"].transform(R.assemble(frame, names)).select("prediction").toPandas()
-    x = R.assemble(frame, names).select("features").toPandas()["features"].map(
-        lambda v: v.toArray())
-    np.testing.assert_allclose(predictor(np.stack(x)), want["prediction"], rtol=1e-9)
-    assert len(importance) == len(names)
+def test_tube_regression_reaches_its_minimum(spark):
+    """The objective is no larger than that of a plain descent on the same features."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 2))
+    y = 20 * np.sin(x[:, 0]) + 10 * x[:, 1] + rng.normal(0, 1, 120)
+    frame = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, y double")
+    fitted, _ = R.solve_fourier(frame, ["a", "b"], components=40, c=10.0, epsilon=0.5, rounds=60, tol=1e-6)
+    z = np.column_stack([fitted.features(x), np.ones(120)])
+
+    def value(w):
+        return 0.5 * w[:-1] @ w[:-1] + 10.0 * np.maximum(np.abs(y - z @ w) - 0.5, 0).sum()
+
+    w = np.append(np.zeros(40), y.mean())
+    best = value(w)
+    for i in range(20000):
+        rest = y - z @ w
+        slope = np.append(w[:-1], 0) - 10.0 * z.T @ (np.sign(rest) * (np.abs(rest) > 0.5))
+        w = w - 0.5 / (10 + i) * slope / max(np.linalg.norm(slope), 1e-9) * 10
+        best = min(best, value(w))
+    assert value(np.append(fitted.linear.coefficients, fitted.linear.intercept)) <= best * 1.02
 
 
 def test_neighbours_equal_brute_force():
@@ -213,7 +218,7 @@ def test_regressors_beat_the_naive_forecast(make):
     wave = 1 + 0.3 * np.sin(2 * np.pi * t / 7)
     df = make({k: ("2021-01-02", "D", b * wave * rng.normal(1, 0.03, 600))
                for k, b in (("a", 100), ("b", 900))})
-    models = full_registry(lags=14, freq="D", trees=10)
+    models = full_registry(lags=14, freq="D", trees=150)
     wanted = ("naive", "lasso", "elasticnet", "knn", "gbt")
     scores = backtest([models[k] for k in wanted], df)
     mean = dict(scores.groupBy("model").agg(F.avg("mape")).collect())
@@ -302,6 +307,23 @@ def test_a_series_does_not_depend_on_its_neighbours(make):
     assert both == pytest.approx(one)
 
 
+def test_an_estimator_that_raises_fails_on_its_series_alone(make):
+    class Picky:
+        def fit(self, x, y):
+            if y.max() > 1000:
+                raise TypeError("no large values")
+            self.level = y.mean()
+
+        def predict(self, x):
+            return np.full(len(x), self.level)
+
+    df = make({"a": ("2022-01-01", "D", np.arange(40.0)), "b": ("2022-01-01", "D", np.arange(40.0) * 100)})
+    model = P.PerSeriesRegressor("picky", "Picky", P.fit_estimator(Picky), log=False)
+    out = run_models([Naive(), model], df, future_index(df, 3, "D"))
+    status = {(r["series_key"], r["model"]): r["status"] for r in fit_status(out).collect()}
+    assert status == {("a", "naive"): "ok", ("b", "naive"): "ok", ("a", "picky"): "ok", ("b", "picky"): "failed"}
+
+
 def test_a_raising_model_fails_alone(make):
     class Broken:
         id = name = "broken"

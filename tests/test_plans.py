@@ -13,8 +13,11 @@ from panelcast.operators import outlook as O
 from panelcast.operators.series import train_test
 from panelcast.plans import ensemble as E
 from panelcast.plans import folds as L
-from panelcast.plans.run import run_adaptive, run_rows
+from panelcast.models.base import run_models
+from panelcast.plans.backtest import refit_on_full
+from panelcast.plans.run import run_adaptive, run_datasets, run_rows
 from panelcast.plans.tune import GRIDS, sample_grid, tune_random_search
+from panelcast.streaming.answers import answer_requests
 
 BASE = [Naive(), SeasonalNaive(7), HoltWinters()]
 
@@ -246,22 +249,110 @@ def test_model_queries_run_at_registered_size(spark, monkeypatch):
     assert searches == [None]
 
 
-def test_tree_by_tree_reading_gives_the_ensemble(make, monkeypatch):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+class Failing:
+    """Fails on one series, forecasts a constant on the others."""
 
-    from panelcast.models import pooled, predictors
+    id = name = "failing"
 
-    monkeypatch.setattr(predictors, "CELLS", 7)
-    rows = make({"a": ("2020-01-01", "D", [float(i * i % 17) for i in range(80)])}).selectExpr(
-        "y", "CAST(day(ds) AS DOUBLE) AS u", "CAST(month(ds) AS DOUBLE) AS v")
-    frame = pooled.assemble(rows, ["u", "v"])
-    for model, average in ((RandomForestRegressor(labelCol="y", numTrees=4, seed=1), True),
-                           (GBTRegressor(labelCol="y", maxIter=4, seed=1), False)):
-        fitted = model.fit(frame)
-        got = fitted.transform(frame).collect()
-        predictor, _ = pooled._trees(fitted, average)
-        x = np.array([r.features.toArray() for r in got])
-        assert np.allclose(predictor(x), [r.prediction for r in got])
+    def __init__(self, bad, level=50.0):
+        self.bad, self.level = bad, level
+
+    def forecast(self, train, future):
+        return future.withColumn("yhat", F.when(F.col("series_key") != self.bad, F.lit(self.level)).cast("double"))
+
+
+def test_a_failed_winner_is_null_not_zero(panel, spark):
+    winners = spark.createDataFrame([("a", "failing"), ("b", "failing")], "series_key string, model string")
+    out = refit_on_full([Failing("a")], panel, winners, 3, "D").collect()
+    assert {(r["series_key"], r["yhat"]) for r in out} == {("a", None), ("b", 50.0)}
+
+
+def test_a_failed_member_does_not_lower_the_ensemble(panel, spark):
+    future = O.future_index(panel, 2, "D")
+    both = run_models([Naive(), Failing("a")], panel, future)
+    weights = spark.createDataFrame([(k, m, 0.5) for k in "ab" for m in ("naive", "failing")],
+                                    "series_key string, model string, weight double")
+    plain = {r["series_key"]: r["yhat"] for r in both.where("model = 'naive'").collect()}
+    got = {r["series_key"]: r["yhat"] for r in E.ensemble_predict(both, weights).collect()}
+    assert got["a"] == pytest.approx(plain["a"]) and got["b"] == pytest.approx((plain["b"] + 50) / 2)
+    none = E.ensemble_predict(both.withColumn("yhat", F.lit(None).cast("double")), weights)
+    assert none.where("yhat IS NOT NULL").isEmpty()
+
+
+def test_a_failed_base_of_stacking_counts_as_the_mean(panel):
+    out = E.Stacking([*BASE, Failing("a")]).forecast(panel, O.future_index(panel, 7, "D")).collect()
+    assert all(20 < r["yhat"] < 200 for r in out if r["series_key"] == "a")
+
+
+def test_any_meta_model_stacks(panel):
+    class First:
+        def fit(self, x, y):
+            self.width = x.shape[1]
+
+        def predict(self, x):
+            return x[:, 0] + self.width
+
+    class Broken(First):
+        def fit(self, x, y):
+            raise KeyError("no")
+
+    future = O.future_index(panel, 3, "D")
+    naive = {(r["series_key"], r["step"]): r["yhat"] for r in Naive().forecast(panel, future).collect()}
+    got = E.Stacking(BASE, meta=First).forecast(panel, future).collect()
+    assert {(r["series_key"], r["step"]): r["yhat"] - 3 for r in got} == pytest.approx(naive)
+    assert E.Stacking(BASE, meta=Broken).forecast(panel, future).where("yhat IS NOT NULL").isEmpty()
+
+
+def test_calendar_folds_never_learn_from_tested_dates(make):
+    df = make({"a": ("2023-01-01", "D", range(60)), "b": ("2023-01-21", "D", range(60)), "c": ("2023-03-01", "D", range(21))})
+    folds = L.calendar_folds(df, 5).toPandas()
+    size = 80 // 6
+    for fold, g in folds.groupby("fold"):
+        train, test = g[g.part == "train"], g[g.part == "test"]
+        assert train.ds.max() < test.ds.min() and test.ds.nunique() == size
+        for _, one in test.groupby("series_key"):
+            assert sorted(one.step) == list(range(1, len(one) + 1))
+    even = make({k: ("2023-01-01", "D", range(66)) for k in "xy"})
+    same = [f(even, 5).select("series_key", "fold", "part", "ds").toPandas().sort_values(["series_key", "fold", "ds"]).to_numpy().tolist()
+            for f in (L.calendar_folds, L.time_series_folds)]
+    assert same[0] == same[1]
+
+
+def test_datasets_of_several_frequencies(spark, make):
+    rng = np.random.default_rng(3)
+    daily = make({"x": ("2023-01-01", "D", rng.uniform(50, 100, 60)), "y": ("2023-01-01", "D", rng.uniform(5, 9, 60))})
+    monthly = make({"x": ("2015-01-01", "MS", rng.uniform(50, 100, 60))})
+
+    def broken():
+        raise OSError("no such file")
+
+    out = run_datasets({"shop": (daily, "D"), "web": (lambda: monthly, "MS"), "new": (daily.limit(5), "D"),
+                        "none": (daily.limit(0), "W"), "gone": (broken, "D"), "odd": (daily, "H")}, periods=4, combine=False,
+                       models=lambda freq: {"naive": Naive(), "snaive": SeasonalNaive(7 if freq == "D" else 12)})
+    status = {r["dataset"]: (r["freq"], r["status"]) for r in out.status.collect()}
+    assert status == {"shop": ("D", "ok"), "web": ("MS", "ok"), "new": ("D", "too short"), "none": ("W", "too short"),
+                      "gone": ("D", "failed"), "odd": ("H", "failed")}
+    found = out.forecast.toPandas()
+    assert set(found.series_key) == {"shop/x", "shop/y", "web/x"} and len(found) == 12
+    months = sorted(found[found.dataset == "web"].ds.astype(str))
+    assert months == ["2020-01-01", "2020-02-01", "2020-03-01", "2020-04-01"]
+
+
+def test_requests_are_answered(spark, make):
+    rng = np.random.default_rng(3)
+    rows = make({"x": ("2023-01-01", "D", rng.uniform(50, 100, 60)), "y": ("2023-01-01", "D", rng.uniform(5, 9, 8))}).withColumn(
+        "dataset", F.when(F.col("series_key") == "x", "shop").otherwise("new"))
+    asked = spark.createDataFrame(
+        [("s1", "u", "quick", 3, "shop"), ("s1", "u", "quick", 3, "shop"), ("s2", "u", "full", 5, "shop"),
+         ("s3", "v", "quick", 2, "new"), ("s4", "v", "quick", 2, "what"), (None, None, "quick", 1, "shop")],
+        "subject string, sender string, mode string, periods int, dataset string")
+    answers, status = answer_requests(asked, rows, "D", lambda mode: {"naive": Naive(), "snaive": SeasonalNaive(7)}, combine=False)
+    assert {(r["subject"], r["messages"], r["status"]) for r in status.collect()} == {
+        ("s1", 2, "answered"), ("s2", 1, "answered"), ("s3", 1, "too short"), ("s4", 1, "unknown dataset"), (None, 1, "answered")}
+    steps = answers.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count("yhat").alias("m")).collect()
+    assert {(r["subject"], r["n"], r["m"]) for r in steps} == {("s1", 3, 3), ("s2", 5, 5), (None, 1, 1)}
+    empty = answer_requests(asked.limit(0), rows, "D", combine=False)
+    assert empty[0].isEmpty() and empty[1].isEmpty()
 
 
 def test_metrics_of_levels_above_1e12(spark):
