@@ -230,6 +230,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, digest: bool = False, id_c
     Windows are judged on the input. Null text has no words. Rows with a null id keep everything and are
     no reference for others; rows that share an id are never a reference for each other.
     """
+    if window < 2:
+        raise ValueError("a window has two words or more")
     block = window // 2
     fields = "doc_id long, n_words long, n_removed long, kept string"
     rows = rows_of(docs, id_col, text_col)

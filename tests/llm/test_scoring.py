@@ -208,6 +208,43 @@ def test_sharding(docs_of, hot):
     assert len(sharding.assign(docs_of([(1, "a"), (2, None)])).collect()) == 2
 
 
+def test_groups_of_equal_texts_stay_whole(spark, docs_of, monkeypatch):
+    """Against the plain rule: whole unless a group fits into no shard, sizes within a hundredth or a document."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 300))) for _ in range(900)]
+    texts += [f"copied {k} " * (k % 30 + 1) for k in range(200) for _ in range(rng.randint(2, 9))]
+    texts += ["hot text " * 12] * 4000 + [None] * 50 + ["long " * 3000] * 2
+    ids = [None if i % 97 == 0 else i % 5000 for i in range(len(texts))]
+    monkeypatch.setattr(sharding, "PART_ROWS", 40)
+    rows = sharding.assign(docs_of(list(zip(ids, texts))), 8).collect()
+    total, homes = sum(r["size"] for r in rows), {}
+    assert len(rows) == len(texts) and total == sum(len((t or "").encode()) + 1 for t in texts)
+    sizes, slots = [0] * 8, [[] for _ in range(8)]
+    for r in rows:
+        homes.setdefault(r["text_crc32"], set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    hot = zlib.crc32(("hot text " * 12).encode())
+    assert len(homes[hot]) > 1 and all(len(at) == 1 for key, at in homes.items() if key != hot)
+    assert max(sizes) - min(sizes) <= 0.02 * total / 8 + 400
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+
+
+def test_room_for_groups_against_plain_rule():
+    places, room = sharding.room_for_groups([(1, 50), (2, 30), (3, 30), (4, 5)], 160, 4)
+    assert places[1] == [(0, 0), (40, 1)]  # larger than a share of 40
+    assert places[2] == [(0, 2)] and places[3] in ([(0, 3)], [(0, 1)]) and len(places[4]) == 1
+    assert sum(room) == 160 - 115 and min(room) >= 0
+    assert sharding.room_for_groups([], 0, 3) == ({}, [0, 0, 0])
+
+
+def test_anchor_windows_have_two_words(docs_of):
+    from panelcast.llm import substring_dedup
+
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs_of([(1, "a b")]), window=1)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_metric_search_is_exact(spark, monkeypatch, seed):
     monkeypatch.setattr(metric_search, "PAGE", 40)
