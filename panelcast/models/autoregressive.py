@@ -10,18 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.models.base import series_arrays
+from panelcast.models.base import Keeping, Read, series_arrays
 from panelcast.operators.series import by_time, last_values
 
 
 @dataclass(frozen=True)
-class AR1:
+class AR1(Keeping):
     """One lag, fitted with the built-in regression aggregates."""
 
     id: str = "ar1"
     name: str = "AR(1)"
 
-    def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
         pairs = train.withColumn("lag", F.lag("y").over(by_time()))
         y, x = F.col("y"), F.col("lag")
         slope = F.regr_slope(y, x)
@@ -31,12 +31,14 @@ class AR1:
             F.when(slope.isNotNull(), F.regr_intercept(y, x))
             .otherwise(F.avg(F.when(x.isNotNull(), y))).alias("a"),
         )
-        state = fit.join(last_values(train), "series_key")
+        return {"fit": fit.join(last_values(train), "series_key")}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
         value = F.aggregate(
             F.sequence(F.lit(1), F.col("step")), F.col("last_y"),
             lambda v, _: F.greatest(F.col("a") + F.col("b") * v, F.lit(0.0)),
         )
-        return future.join(state, "series_key").select(
+        return future.join(read("fit"), "series_key").select(
             "series_key", "step", "ds", F.when(F.col("a").isNotNull(), value).alias("yhat")
         )
 
@@ -49,7 +51,7 @@ def ar_coefficients(y: np.ndarray, p: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class AR:
+class AR(Keeping):
     """p lags. The fit of each series runs in numpy over batches of series, the recursion in Spark."""
 
     p: int = 14
@@ -72,7 +74,10 @@ class AR:
             fit, "series_key string, beta array<double>, tail array<double>"
         )
 
-    def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        return {"fit": self.coefficients(train)}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
         def advance(state: Column, _: Column) -> Column:
             dot = F.aggregate(
                 F.zip_with(F.slice("beta", 2, self.p), state["h"], lambda b, v: b * v),
@@ -87,7 +92,7 @@ class AR:
 
         start = F.struct(F.col("tail").alias("h"), F.array().cast("array<double>").alias("out"))
         horizon = future.groupBy("series_key").agg(F.max("step").alias("h"))
-        paths = self.coefficients(train).join(horizon, "series_key").select(
+        paths = read("fit").join(horizon, "series_key").select(
             "series_key",
             F.when(
                 F.col("beta").isNotNull(),

@@ -70,6 +70,24 @@ def cogroup_series(
     )
 
 
+Read = Callable[[str], DataFrame]
+"""Gives a table of a fitted model by its name."""
+
+
+class Keeping:
+    """A forecaster whose fit is a set of named tables: ``state`` makes them from training rows and
+    ``from_state`` forecasts from them alone, so they can be stored and read back."""
+
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        raise NotImplementedError
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
+        return self.from_state(self.state(train).__getitem__, future)
+
+
 @dataclass(frozen=True)
 class CustomForecaster:
     """A user's function ``(history, steps) -> forecast`` over pandas frames of one series."""

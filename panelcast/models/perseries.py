@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
-from panelcast.models.base import cogroup_series, register_forecaster
+from panelcast.models.base import Read, cogroup_series, register_forecaster
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
     EVERY,
@@ -181,6 +182,47 @@ class PerSeriesRegressor:
         return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
 
 
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        """The fitted object of each series with the series' values."""
+        names, fit, options, warmup = feature_names(self.lags, EVERY), self.fit, self.options, self.warmup
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("ds")
+            y = rows["y"].to_numpy(dtype=float)
+            cold = 0 if warmup == "zero" else min(max(ROLL_WINDOWS), len(y) // 4)
+            try:
+                fitted = cloudpickle.dumps(fit(rows[names].to_numpy(dtype=float)[cold:], y[cold:], **options))
+            except Exception:  # noqa: BLE001 - a series without a fit gets null rows
+                fitted = None
+            return pd.DataFrame({"series_key": rows["series_key"].iloc[:1], "ys": [y], "use_log": rows["use_log"].iloc[:1].to_numpy(),
+                                 "fitted": [fitted]})
+
+        frame = feature_matrix(log1p_transform(train, self.log), self.lags, EVERY)
+        return {"fitted": frame.groupBy("series_key").applyInPandas(
+            one, "series_key string, ys array<double>, use_log boolean, fitted binary")}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        lags, signed, calendar = self.lags, self.signed, list(CALENDAR_NAMES)
+
+        def one(kept: pd.DataFrame, coming: pd.DataFrame) -> pd.DataFrame:
+            coming = coming.sort_values("step")
+            out = coming[["series_key", "step", "ds"]]
+            if kept.empty or coming.empty or kept["fitted"].iloc[0] is None:
+                return out.assign(yhat=np.nan)
+            try:
+                path = roll_forward(
+                    [np.asarray(kept["ys"].iloc[0], dtype=float)], coming[calendar].to_numpy(dtype=float)[None],
+                    kept["use_log"].to_numpy()[:1], cloudpickle.loads(kept["fitted"].iloc[0]), lags, EVERY, signed)
+                return out.assign(yhat=path[0])
+            except Exception:  # noqa: BLE001 - a failing series becomes null rows
+                return out.assign(yhat=np.nan)
+
+        dated = future.withColumns(calendar_features(F.col("ds"))).select(
+            "series_key", "step", "ds", *[F.col(c).cast("double").alias(c) for c in calendar])
+        out = cogroup_series(read("fitted"), dated, one, "series_key string, step int, ds date, yhat double")
+        return out.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
+
+
 def register_estimator(id: str, name: str, make: Callable[[], object], **settings) -> PerSeriesRegressor:
     """Let any object with ``fit(X, y)`` and ``predict(X)`` take part in every benchmark, its forecasts fed
     back step by step. ``make`` builds a fresh one for each series."""

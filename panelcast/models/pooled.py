@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import CALENDAR_NAMES, calendar_features
-from panelcast.models.base import series_arrays
+from panelcast.models.base import Read, series_arrays
 from panelcast.models.binned import TreeSettings, bin_panel, fit_ensembles
 from panelcast.models.gram import bayesian_ridge, gram, ridge
-from panelcast.models.predictors import FourierPredictor, LinearPredictor
+from panelcast.models.predictors import FourierPredictor, LinearPredictor, TreePredictor
 from panelcast.models.recursion import roll_forward
 from panelcast.operators.features import (
     EVERY,
@@ -61,9 +61,18 @@ class Fitted:
     def names(self) -> list[str]:
         return model_names(self.lags, self.longest)
 
+    def history(self, train: DataFrame) -> DataFrame:
+        """What a forecast needs to know of each series: its values on the model's scale."""
+        work = log1p_transform(train, self.log)
+        flags = work.groupBy("series_key").agg(F.first("use_log").alias("use_log"))
+        return series_arrays(work.drop("use_log")).join(flags, "series_key")
+
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
+        return self.forecast_from(self.history(train), future)
+
+    def forecast_from(self, history: DataFrame, future: DataFrame) -> DataFrame:
         predictor, lags, longest, signed = self.predictor, self.lags, self.longest, self.signed
-        shared = train.sparkSession.sparkContext.broadcast(predictor)
+        shared = future.sparkSession.sparkContext.broadcast(predictor)
 
         def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             predict = shared.value
@@ -81,13 +90,7 @@ class Fitted:
                     "yhats": [p[:n] for p, n in zip(paths, counts, strict=True)],
                 })
 
-        work = log1p_transform(train, self.log)
-        flags = work.groupBy("series_key").agg(F.first("use_log").alias("use_log"))
-        state = (
-            series_arrays(work.drop("use_log")).join(flags, "series_key")
-            .join(future_calendars(future), "series_key")
-        )
-        paths = state.mapInPandas(
+        paths = history.join(future_calendars(future), "series_key").mapInPandas(
             advance,
             "series_key string, steps array<int>, dates array<date>, yhats array<double>",
         )
@@ -103,6 +106,55 @@ class Fitted:
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
+_KINDS = {"linear": LinearPredictor, "tree": TreePredictor, "fourier": FourierPredictor}
+FITTED_SCHEMA = (
+    "kind string, part string, shape array<int>, whole boolean, numbers array<double>, lags int, "
+    "longest int, log boolean, signed boolean"
+)
+
+
+def _parts(predictor) -> list[tuple[str, np.ndarray]]:
+    out = []
+    for name, value in vars(predictor).items():
+        if isinstance(value, LinearPredictor):
+            out += [(f"{name}.{n}", v) for n, v in _parts(value)]
+        else:
+            out.append((name, np.asarray(value)))
+    return out
+
+
+def fitted_table(spark: SparkSession, fitted: Fitted) -> DataFrame:
+    """The numbers of a fitted regressor, one row per array."""
+    kind = next(k for k, cls in _KINDS.items() if isinstance(fitted.predictor, cls))
+    parts = _parts(fitted.predictor)
+    if fitted.importance is not None:
+        parts.append(("importance", fitted.importance))
+    rows = [
+        (kind, name, list(map(int, a.shape)), a.dtype.kind == "i", a.astype(float).ravel().tolist(),
+         fitted.lags, fitted.longest, fitted.log, fitted.signed)
+        for name, a in parts
+    ]
+    return spark.createDataFrame(rows, FITTED_SCHEMA).coalesce(1)
+
+
+def fitted_from(table: DataFrame) -> Fitted:
+    """The regressor that a table of ``fitted_table`` describes; its size is that of the model."""
+    rows = table.collect()
+    arrays = {}
+    for r in rows:
+        a = np.array(r["numbers"], dtype=int if r["whole"] else float).reshape(r["shape"])
+        arrays[r["part"]] = a if a.shape else a.item()
+    importance = arrays.pop("importance", None)
+    nested = {k: v for k, v in arrays.items() if "." in k}
+    plain = {k: v for k, v in arrays.items() if "." not in k}
+    for outer in {k.split(".")[0] for k in nested}:
+        inner = {k.split(".")[1]: v for k, v in nested.items() if k.startswith(f"{outer}.")}
+        plain[outer] = LinearPredictor(**inner)
+    first = rows[0]
+    return Fitted(_KINDS[first["kind"]](**plain), first["lags"], first["longest"], first["log"],
+                  first["signed"], importance)
+
+
 def training_frame(
     train: DataFrame, lags: int, longest: int, log: bool, warmup: str = "zero"
 ) -> DataFrame:
@@ -176,6 +228,13 @@ class PooledRegressor:
     def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
         return self.fit(train).forecast(train, future)
 
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        fitted = self.fit(train)
+        return {"regressor": fitted_table(train.sparkSession, fitted), "history": fitted.history(train)}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        return fitted_from(read("regressor")).forecast_from(read("history"), future)
+
     @staticmethod
     def fit_all(models: list[PooledRegressor], frame: DataFrame) -> list[Fitted]:
         """Tree ensembles of equal ``shape``, fitted on one binned copy of their feature rows."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.models.base import series_arrays
+from panelcast.models.base import Keeping, Read, series_arrays
 
 
 def _mean(values: Column) -> Column:
@@ -15,7 +15,7 @@ def _mean(values: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class HoltWinters:
+class HoltWinters(Keeping):
     """Level, trend and season with fixed rates.
 
     The season is the array of the last m seasonal terms, turned by one at each value, so its head
@@ -30,7 +30,7 @@ class HoltWinters:
     id: str = "holt_winters"
     name: str = "Holt-Winters"
 
-    def state(self, train: DataFrame) -> DataFrame:
+    def smoothed(self, train: DataFrame) -> DataFrame:
         """Final level, trend and season per series."""
         a, b, g = self.alpha, self.beta, self.gamma
         n, m = F.col("n"), F.col("m")
@@ -58,13 +58,16 @@ class HoltWinters:
 
         return base.select("series_key", "m", F.aggregate("ys", start, update).alias("state"))
 
-    def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        return {"smoothed": self.smoothed(train)}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
         slot = F.pmod(F.col("step") - 1, F.col("m")) + 1
         value = (
             F.col("state.l") + F.col("step") * F.col("state.t")
             + F.element_at(F.col("state.s"), slot.cast("int"))
         )
-        return future.join(self.state(train), "series_key", "left").select(
+        return future.join(read("smoothed"), "series_key", "left").select(
             "series_key", "step", "ds",
             F.when(F.col("m").isNotNull(), F.greatest(value, F.lit(0.0))).alias("yhat"),
         )

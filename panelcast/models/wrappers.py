@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from panelcast.models.base import Forecaster
+from panelcast.models.base import Forecaster, Keeping, Read
 from panelcast.operators.series import first_difference, integrate_forecast, last_values
 
 
 @dataclass(frozen=True)
-class Differenced:
+class Differenced(Keeping):
     """Forecasts the period-to-period changes and adds them up.
 
     The inner forecaster should be able to predict negative changes (``signed=True`` for the
@@ -29,6 +29,10 @@ class Differenced:
     def pooled(self) -> bool:
         return getattr(self.inner, "pooled", False)
 
-    def forecast(self, train: DataFrame, future: DataFrame) -> DataFrame:
-        changes = self.inner.forecast(first_difference(train), future)
-        return integrate_forecast(changes, last_values(train))
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        inner = self.inner.state(first_difference(train))
+        return {"last": last_values(train), **{f"inner/{k}": v for k, v in inner.items()}}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        changes = self.inner.from_state(lambda name: read(f"inner/{name}"), future)
+        return integrate_forecast(changes, read("last"))

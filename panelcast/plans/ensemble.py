@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import not_negative
-from panelcast.models.base import Forecaster, cogroup_series, run_models
+from panelcast.models.base import Forecaster, Read, cogroup_series, run_models
 from panelcast.operators.joins import oof_matrix
 from panelcast.operators.series import with_position
 from panelcast.plans.folds import out_of_fold
@@ -76,6 +77,26 @@ class WeightedEnsemble:
         weights = ensemble_weights(self.models, train)
         return ensemble_predict(run_models(self.models, train, future), weights)
 
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        train = cut_lineage(train)
+        return {"weights": ensemble_weights(self.models, train), **member_states(self.models, train)}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        return ensemble_predict(member_forecasts(self.models, read, future), read("weights"))
+
+
+def member_states(models: Iterable[Forecaster], train: DataFrame) -> dict[str, DataFrame]:
+    return {f"{m.id}/{name}": table for m in models for name, table in m.state(train).items()}
+
+
+def member_forecasts(models: Iterable[Forecaster], read: Read, future: DataFrame) -> DataFrame:
+    """Forecasts of stored members in one frame."""
+    def one(m: Forecaster) -> DataFrame:
+        out = m.from_state(lambda name: read(f"{m.id}/{name}"), future)
+        return out.select("series_key", F.lit(m.id).alias("model"), "step", "ds", "yhat")
+
+    return reduce(DataFrame.unionByName, map(one, models))
+
 
 STACK_SCHEMA = "series_key string, intercept double, weights array<double>"
 
@@ -155,12 +176,30 @@ class Stacking:
         ids = [m.id for m in self.models]
         oof = out_of_fold(self.models, train, self.folds)
         means = train.groupBy("series_key").agg(F.avg("y").alias("_mean"))
-        base = run_models(self.models, train, future).join(means, "series_key").withColumn(
-            "yhat", F.coalesce("yhat", "_mean"))
-        wide = base.groupBy("series_key", "step", "ds").pivot("model", ids).agg(F.first("yhat"))
+        base = run_models(self.models, train, future)
         if self.meta is not None:
-            return meta_forecast(oof, wide, ids, self.meta)
-        weights = stacking_weights(oof, ids, self.alpha)
+            return meta_forecast(oof, self._wide(base, means), ids, self.meta)
+        return self._combined(base, means, stacking_weights(oof, ids, self.alpha))
+
+    def state(self, train: DataFrame) -> dict[str, DataFrame]:
+        train, ids = cut_lineage(train), [m.id for m in self.models]
+        oof = out_of_fold(self.models, train, self.folds)
+        known = {"oof": oof} if self.meta is not None else {"weights": stacking_weights(oof, ids, self.alpha)}
+        means = train.groupBy("series_key").agg(F.avg("y").alias("_mean"))
+        return {**known, "means": means, **member_states(self.models, train)}
+
+    def from_state(self, read: Read, future: DataFrame) -> DataFrame:
+        base = member_forecasts(self.models, read, future)
+        if self.meta is not None:
+            return meta_forecast(read("oof"), self._wide(base, read("means")), [m.id for m in self.models], self.meta)
+        return self._combined(base, read("means"), read("weights"))
+
+    def _wide(self, base: DataFrame, means: DataFrame) -> DataFrame:
+        filled = base.join(means, "series_key").withColumn("yhat", F.coalesce("yhat", "_mean"))
+        return filled.groupBy("series_key", "step", "ds").pivot("model", [m.id for m in self.models]).agg(F.first("yhat"))
+
+    def _combined(self, base: DataFrame, means: DataFrame, weights: DataFrame) -> DataFrame:
+        wide, ids = self._wide(base, means), [m.id for m in self.models]
         value = F.col("intercept")
         for i, c in enumerate(ids):
             value = value + F.col("weights")[i] * F.col(c)

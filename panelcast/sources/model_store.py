@@ -1,29 +1,19 @@
-"""Keeping fitted regressors: one row of numbers per model in a Parquet table."""
+"""Keeping fitted models as Parquet tables, by dataset and model, with a row per series.
 
-from __future__ import annotations
-
-import numpy as np
-from pyspark.sql import SparkSession
+A forecaster names the tables of its fit (coefficients, smoothed states, neighbours' rows, networks, the
+numbers of a pooled regressor, the members of an ensemble); they are written by Spark and read back where a
+forecast needs them, so neither the series nor their states pass through the driver.
+"""
 
-from panelcast.models.pooled import Fitted
-from panelcast.models.predictors import FourierPredictor, LinearPredictor, TreePredictor
-from panelcast.sources.files import safe_name
+from __future__ import annotations
 
-_KINDS = {"linear": LinearPredictor, "tree": TreePredictor, "fourier": FourierPredictor}
-SCHEMA = (
-    "kind string, part string, shape array<int>, whole boolean, numbers array<double>, lags int, "
-    "longest int, log boolean, signed boolean"
-)
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
 
-def _parts(predictor) -> list[tuple[str, np.ndarray]]:
-    out = []
-    for name, value in vars(predictor).items():
-        if isinstance(value, LinearPredictor):
-            out += [(f"{name}.{n}", v) for n, v in _parts(value)]
-        else:
-            out.append((name, np.asarray(value)))
-    return out
+from panelcast.models.base import Forecaster
+from panelcast.models.pooled import Fitted, fitted_from, fitted_table
+from panelcast.sources.files import safe_name
 
 
 def model_path(folder: str, dataset: str, name: str) -> str:
@@ -31,32 +21,34 @@ def model_path(folder: str, dataset: str, name: str) -> str:
 
 
 def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
-    """Write the numbers of a fitted regressor, one row per array."""
-    kind = next(k for k, cls in _KINDS.items() if isinstance(fitted.predictor, cls))
-    parts = _parts(fitted.predictor)
-    if fitted.importance is not None:
-        parts.append(("importance", fitted.importance))
-    rows = [
-        (kind, name, list(map(int, a.shape)), a.dtype.kind == "i", a.astype(float).ravel().tolist(),
-         fitted.lags, fitted.longest, fitted.log, fitted.signed)
-        for name, a in parts
-    ]
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    """Write the numbers of a fitted pooled regressor."""
+    fitted_table(spark, fitted).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> Fitted:
-    rows = spark.read.schema(SCHEMA).parquet(path).collect()
-    arrays = {}
-    for r in rows:
-        a = np.array(r["numbers"], dtype=int if r["whole"] else float).reshape(r["shape"])
-        arrays[r["part"]] = a if a.shape else a.item()
-    importance = arrays.pop("importance", None)
-    nested = {k: v for k, v in arrays.items() if "." in k}
-    plain = {k: v for k, v in arrays.items() if "." not in k}
-    for outer in {k.split(".")[0] for k in nested}:
-        inner = {k.split(".")[1]: v for k, v in nested.items() if k.startswith(f"{outer}.")}
-        plain[outer] = LinearPredictor(**inner)
-    first = rows[0]
-    return Fitted(_KINDS[first["kind"]](**plain), first["lags"], first["longest"], first["log"],
-                  first["signed"], importance)
+    return fitted_from(spark.read.parquet(path))
+
+
+@dataclass(frozen=True)
+class StoredForecaster:
+    """A fitted model in a store. It forecasts without the rows it was fitted on."""
+
+    model: Forecaster
+    path: str
+
+    def forecast(self, future: DataFrame) -> DataFrame:
+        spark = future.sparkSession
+        return self.model.from_state(lambda name: spark.read.parquet(f"{self.path}/{name}"), future)
+
+
+def save_forecaster(model: Forecaster, train: DataFrame, folder: str, dataset: str) -> StoredForecaster:
+    """Fit ``model`` on all series of ``train`` and write what its forecasts need."""
+    path = model_path(folder, dataset, model.name)
+    for name, table in model.state(train).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return StoredForecaster(model, path)
+
 
+def load_forecaster(model: Forecaster, folder: str, dataset: str) -> StoredForecaster:
+    """The stored fit of ``model`` (an entry of the registry) on a dataset."""
+    return StoredForecaster(model, model_path(folder, dataset, model.name))

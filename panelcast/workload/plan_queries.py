@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import rnd
@@ -28,7 +30,7 @@ from panelcast.session import cut_lineage, shared_folder
 from panelcast.spec import season_length
 from panelcast.streaming.answers import forecast_answers
 from panelcast.streaming.requests import request_stream
-from panelcast.sources.model_store import load_model, save_model
+from panelcast.sources.model_store import load_forecaster, load_model, save_forecaster, save_model
 from panelcast.sources.tables import read_sales_table
 from panelcast.workload.base import (
     BRAND_MONTHLY,
@@ -144,6 +146,21 @@ def _(spark, folder):
     return load_model(spark, path).forecast(series, future)
 
 
+@query("load_model")
+def _(spark, folder):
+    """One model of every kind, and an ensemble of some, fitted, stored, and forecasting from the store."""
+    series = cut_lineage(nation_weekly(spark, folder))
+    models = full_registry(freq="W")
+    some = [models[k] for k in ("naive", "seasonal_naive", "ar", "holt_winters", "differenced", "ridge", "knn")]
+    where, future = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}", O.future_index(series, STEPS, "W")
+    parts = []
+    for model in [*some, E.WeightedEnsemble(baselines()), E.Stacking(baselines())]:
+        save_forecaster(model, series, where, "nation_weekly")
+        out = load_forecaster(model, where, "nation_weekly").forecast(future)
+        parts.append(out.select("series_key", F.lit(model.id).alias("model"), "step", "ds", "yhat"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _registry_query(name: str, registry) -> None:
     """Scores of every member of the registry, with the ids of members that fail."""
     def run(spark, folder):

@@ -16,7 +16,8 @@ from panelcast.operators.features import feature_names
 from panelcast.operators.outlook import future_index
 from panelcast.operators.series import train_test
 from panelcast.plans.backtest import backtest
-from panelcast.sources.model_store import load_model, save_model
+from panelcast.plans.ensemble import Stacking, WeightedEnsemble
+from panelcast.sources.model_store import load_forecaster, load_model, save_forecaster, save_model
 
 H = 12
 
@@ -246,6 +247,23 @@ def test_saved_model_forecasts_the_same(spark, panel, tmp_path):
     assert back.feature_importance(spark).count() == 0
 
 
+def test_models_of_every_kind_forecast_the_same_from_their_store(make, tmp_path):
+    rng = np.random.default_rng(8)
+    df = make({k: ("2023-01-02", "D", base * (1 + 0.3 * np.sin(np.arange(90) / 4)) + rng.normal(0, 2, 90))
+               for k, base in (("a", 100), ("b", 300))})
+    registered = full_registry(lags=7, trees=3)
+    assert all(hasattr(m, "state") for m in registered.values())
+    models = [registered[k] for k in ("naive", "seasonal_naive", "ar", "holt_winters", "differenced", "knn", "mlp", "catboost_preset")]
+    few = [AR1(), *models[:2]]
+    future = future_index(df, 4, "D")
+    for model in [*models, AR1(), WeightedEnsemble(few), Stacking(few, folds=2)]:
+        save_forecaster(model, df, str(tmp_path), "set")
+        got, want = (x.orderBy("series_key", "step").toPandas()["yhat"].to_numpy()
+                     for x in (load_forecaster(model, str(tmp_path), "set").forecast(future), model.forecast(df, future)))
+        assert len(got) == 8 and np.isfinite(got).all(), model.id
+        np.testing.assert_allclose(got, want, rtol=1e-6, err_msg=model.id)
+
+
 def test_registry(panel):
     full, quick = full_registry(), quick_registry()
     assert len(full) == 22 and tuple(quick) == QUICK
