@@ -275,8 +275,7 @@ def profile(frame: DataFrame, names: list[str]) -> Profile:
 #
 # Spark scales features and label by their population deviation before it penalises, as a scaler in
 # front of the regressor would. With n rows and label deviation s, the penalties of
-# "squared error + a·|w|²" and of "squared error / 2n + a·r·|w| + a·(1−r)/2·|w|²" become:
-#   ridge         regParam = a·s/n, elasticNetParam = 0
+# "squared error / 2n + a·r·|w| + a·(1−r)/2·|w|²" become:
 #   lasso         regParam = a,     elasticNetParam = 1
 #   elastic net   regParam = a·r + a·(1−r)·s, elasticNetParam = a·r / regParam
 
@@ -302,9 +301,10 @@ def solve_linear(frame: DataFrame, names: list[str]) -> tuple:
 
 
 def solve_ridge(frame: DataFrame, names: list[str], alpha: float = 1.0) -> tuple:
-    seen = profile(frame, names)
-    strength = alpha * seen.deviation / seen.n
-    return _linear(frame, names, seen, regParam=strength, elasticNetParam=0.0)
+    """From the same moments as the plain fit, in one pass."""
+    g = gram(frame, names)
+    w, b = g.plain(ridge(g, alpha))
+    return LinearPredictor(w, b), np.abs(w)
 
 
 def solve_lasso(frame: DataFrame, names: list[str], alpha: float = 0.01) -> tuple:
