@@ -516,6 +516,8 @@ def fit_ensembles(panel: BinnedPanel, settings: list[TreeSettings]) -> list[tupl
     for i, s in enumerate(settings):
         size = s.trees if s.boost else STRETCH
         jobs += [(i, a, replace(s, trees=min(size, s.trees - a))) for a in range(0, s.trees, size)]
+    # The longest fits start first.
+    jobs.sort(key=lambda j: -j[2].trees * j[2].depth)
     p, values = len(panel.cuts), panel.values
 
     def run(number: int, f: pd.DataFrame) -> pd.DataFrame:
