@@ -292,3 +292,35 @@ def test_metric_search_large_components(spark, monkeypatch):
         order = [i for i in sorted(range(200), key=lambda i: (-score[i], i)) if i != q][:7]
         assert sorted(got[q]) == [(k + 1, i, score[i]) for k, i in enumerate(order)]
     assert set(got) == set(range(0, 200, 20))
+
+
+def test_metric_search_far_components_and_clashing_columns(spark):
+    far = [(0, [1e300, 1.0]), (20, [1.0, 2.0]), (40, [2.0 ** 54, 2.0 ** 54]), (41, [2.0 ** 54, 2.0 ** 53]), (42, [2.0 ** 54, 2.0 ** 54])]
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in far], "vec_id long, embedding array<double>, home int, reach string")
+    got = {}
+    for r in metric_search.search(frame, k=3, every=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    top = (1 << 63) - 1
+    assert sorted(got[40]) == [(1, 20, top), (2, 41, top), (3, 42, top)] and set(got) == {20, 40}
+
+
+def test_metric_search_leaves_pages_out(spark, monkeypatch):
+    monkeypatch.setattr(metric_search, "PAGE", 25)
+    written = []
+    plain = metric_search.stored
+    monkeypatch.setattr(metric_search, "stored", lambda df: written.append(plain(df)) or written[-1])
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 8)) * 3
+    x = centres[rng.integers(0, 20, 2000)] + 0.05 * rng.normal(size=(2000, 8))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in metric_search.search(frame, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    v = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 2000, 20):
+        order = [i for i in np.lexsort((np.arange(2000), -(v @ v[q]))) if i != q][:5]
+        assert sorted(got[q]) == [(k + 1, i) for k, i in enumerate(order)]
+    pages = next(t for t in written if "radius" in t.columns and "node" in t.columns).count()
+    last = [t for t in written if {"ord", "away"} <= set(t.columns)][-1]
+    visited = sum(len(r["at"]) // 4 for r in last.collect())
+    assert pages > 50 and visited < 0.5 * 100 * pages
