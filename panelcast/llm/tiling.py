@@ -8,11 +8,13 @@ as well as a verbatim one. A document is contaminated when its tiles cover enoug
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,18 @@ class Items:
                 self.seeds[n] = (h[pick][order], item, at[pick][order] - words.firsts[item])
 
 
+_HIDDEN = regex.compile(r"[\u00ad\u200c\u200d\u2060\ufeff]+")
+"""Characters inside words that do not show: soft hyphen, joiners, byte order mark."""
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7f]+")
+
+
 def _lower(text: bytes) -> bytes:
-    return text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+    """Lower-cased text whose characters beyond ASCII are letters, marks and digits: others become a space,
+    hidden ones go, and compatible forms (ligatures, wide letters, composed accents) become one."""
+    if text.isascii():
+        return text.lower()
+    wide = unicodedata.normalize("NFKC", _HIDDEN.sub("", text.decode("utf-8", "replace")))
+    return _BETWEEN.sub(" ", wide.lower()).encode("utf-8", "replace")
 
 
 def tile_pair(doc: np.ndarray, item: np.ndarray, least: int, longest: int) -> list[tuple[int, int, int]]:
@@ -152,7 +164,8 @@ def contaminated(docs: DataFrame, items: DataFrame, tile: int = TILE, coverage:
     """One row per document and benchmark item that it holds: ``doc_id``, ``item_id``, ``n_tiles``,
     ``covered`` and ``item_words`` (words), ``coverage`` and ``tiles``.
 
-    Words are runs of lower-cased letters and digits. Items shorter than ``tile`` words count when they
+    Words are runs of lower-cased letters, marks and digits of any script, in compatible form; spaces, dashes
+    and quotes of any kind separate them, soft hyphens and joiners inside them do not count. Items shorter than ``tile`` words count when they
     occur whole; items and texts that are null or wordless match nothing. Null ids are carried along, and
     repeated rows are reported again. An empty benchmark or corpus gives no rows.
     """

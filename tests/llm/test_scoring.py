@@ -324,3 +324,31 @@ def test_metric_search_leaves_pages_out(spark, monkeypatch):
     last = [t for t in written if {"ord", "away"} <= set(t.columns)][-1]
     visited = sum(len(r["at"]) // 4 for r in last.collect())
     assert pages > 50 and visited < 0.5 * 100 * pages
+
+
+def test_tiling_sees_words_behind_other_spaces_dashes_and_quotes(spark, docs_of):
+    plain = "the café owner's rule is to serve naïve guests first and ask the others to wait for a table"
+    copies = [
+        plain,
+        plain.replace(" ", " "),
+        plain.replace("'", "’").upper(),
+        " ".join("—" + w for w in plain.split()),
+        "“" + plain.replace(" ", " – ") + "”",
+        plain.replace("guests", "gue­sts").replace("é", "é"),
+        "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in plain),
+    ]
+    clean = [" ".join(sorted(plain.split())), "", None, "—— ”"]
+    items = spark.createDataFrame([(1, plain), (2, "—  "), (3, None)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["covered"]) for r in tiling.contaminated(
+        docs_of(list(enumerate(copies + clean))), items).collect()}
+    assert found == {(i, 1, 20) for i in range(len(copies))}
+
+
+def test_tiling_of_a_very_long_text_with_repeated_rows(spark, docs_of):
+    rng = np.random.default_rng(12)
+    filler = " ".join(f"w{i}" for i in rng.integers(0, 5000, 200_000))
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = [(1, filler + "\n" + passage + "\n" + filler), (1, filler), (2, passage), (2, passage)]
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    found = [(r["doc_id"], r["covered"]) for r in tiling.contaminated(docs_of(docs), items).collect()]
+    assert sorted(found) == [(1, 14), (2, 14), (2, 14)]
