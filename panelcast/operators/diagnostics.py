@@ -15,6 +15,8 @@ from panelcast.operators.series import by_key, by_time, with_position
 MAX_ACF_LAG = 40
 # 97.5 % quantile of the normal distribution.
 Z95 = 1.959963984540054
+# Column labels of a share table in one list, about.
+LABELS = 1024
 
 
 def period_revenue(series: DataFrame, freq: str) -> DataFrame:
@@ -48,12 +50,17 @@ def share_axes(
 def category_share(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Share of each column value in the row's total, with 0 where a pair does not occur.
 
-    The facts are summed per cell first; everything after works on cells.
+    The facts are summed per cell first; everything after works on cells. Labels are kept in lists of
+    about ``LABELS``, so many of them never meet in one array.
     """
     cells = df.groupBy(row, column).agg(F.sum(value).alias("v"))
-    labels = cells.agg(F.collect_set(column)).scalar()  # the columns of the table
+    labels = cells.select(F.col(column).alias("_column")).where(F.col(column).isNotNull()).distinct()
+    lists = max(1, -(-labels.count() // LABELS))
+    listed = labels.groupBy(F.pmod(F.xxhash64("_column"), F.lit(lists)).cast("int").alias("_list")).agg(
+        F.collect_list("_column").alias("_columns"))
     totals = cells.groupBy(row).agg(F.sum("v").alias("_total")).select(
-        F.col(row).alias("_row"), "_total", F.explode(labels).alias("_column"))
+        F.col(row).alias("_row"), "_total", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("_list")
+    ).join(listed, "_list").select("_row", "_total", F.explode("_columns").alias("_column"))
     same = totals["_row"].eqNullSafe(cells[row]) & (totals["_column"] == cells[column])
     return totals.join(cells, same, "left").select(
         F.col("_row").alias(row), F.col("_column").alias(column),

@@ -250,13 +250,18 @@ def last_feature_row(series: DataFrame, lags: int = 14, longest: int = EVERY) ->
 
 
 def festival_join(series: DataFrame) -> DataFrame:
-    """Festival score of each row through the lookup of dates near a festival."""
+    """Festival score of each row through the lookup of dates near a festival.
+
+    The lookup keeps the dates that the series have, so a single date far away does not make it large, and
+    the join carries no hint.
+    """
     spark = series.sparkSession
     years = series.agg(F.min(F.year("ds")), F.max(F.year("ds"))).first()
-    lookup = festival_days(spark, years[0] or 2000, years[1] or 2000)
+    lookup = festival_days(spark, years[0] or 2000, years[1] or 2000).join(
+        series.select("ds").distinct(), "ds", "left_semi")
     score = F.coalesce("score", F.lit(0.0))
     return (
-        series.join(F.broadcast(lookup), "ds", "left")
+        series.join(lookup, "ds", "left")
         .select("series_key", "ds", score.alias("festival_score"),
                 (score > 0).cast("int").alias("near_festival"))
     )

@@ -39,36 +39,61 @@ def _with_customer(spark: SparkSession, folder: str, facts: DataFrame, needed: s
     return facts
 
 
-def _facts(spark: SparkSession, folder: str, fact: str, owners: set) -> tuple:
+def _measures(spark: SparkSession, folder: str, fact: str) -> tuple:
+    """A fact table, its date and its amount."""
     if fact == "orders":
-        facts = table(spark, folder, "orders")
-        if owners & {"customer", "nation", "region"}:
-            facts = _with_customer(spark, folder, facts, owners)
-        return facts, F.col("o_orderdate"), F.col("o_totalprice")
+        return table(spark, folder, "orders"), F.col("o_orderdate"), F.col("o_totalprice")
     if fact == "lineitem":
-        facts = table(spark, folder, "lineitem")
-        if "part" in owners:
-            facts = facts.join(table(spark, folder, "part"),
-                               F.col("l_partkey") == F.col("p_partkey"))
-        if owners & {"orders", "customer", "nation", "region"}:
-            facts = facts.join(table(spark, folder, "orders"),
-                               F.col("l_orderkey") == F.col("o_orderkey"))
-        if owners & {"customer", "nation", "region"}:
-            facts = _with_customer(spark, folder, facts, owners)
         net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
-        return facts, F.col("l_shipdate"), net
+        return table(spark, folder, "lineitem"), F.col("l_shipdate"), net
     if fact == "events":
         return table(spark, folder, "events"), F.col("ts"), F.col("value")
     raise ValueError(f"unknown fact table {fact!r}")
 
 
+def _with_dimensions(spark: SparkSession, folder: str, fact: str, facts: DataFrame, owners: set) -> DataFrame:
+    if fact == "lineitem" and "part" in owners:
+        facts = facts.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if fact == "lineitem" and owners & {"orders", "customer", "nation", "region"}:
+        facts = facts.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if fact != "events" and owners & {"customer", "nation", "region"}:
+        facts = _with_customer(spark, folder, facts, owners)
+    return facts
+
+
 def read_sales_table(
     spark: SparkSession, folder: str, fact: str = "orders", keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """Transactions of one fact table, keyed by attributes of it or its dimensions."""
-    owners = {ATTRIBUTES[k][0] for k in keys}
-    facts, when, amount = _facts(spark, folder, fact, owners)
+    facts, when, amount = _measures(spark, folder, fact)
+    facts = _with_dimensions(spark, folder, fact, facts, {ATTRIBUTES[k][0] for k in keys})
     key: Column = key_of([ATTRIBUTES[k][1] for k in keys])
     return facts.select(
         key.alias("series_key"), when.cast("date").alias("ds"), amount.cast("double").alias("y")
     ).na.drop(subset=["ds", "y"])
+
+
+def read_sales_sums(
+    spark: SparkSession, folder: str, fact: str = "orders", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Sales of each key and day, as ``read_sales_table`` summed by key and day.
+
+    The facts are summed per foreign key and day before they meet a dimension: what a hot customer or part
+    sends into the join is one row per day, not one per transaction.
+    """
+    owners = {ATTRIBUTES[k][0] for k in keys}
+    facts, when, amount = _measures(spark, folder, fact)
+    foreign = []
+    if fact == "orders" and owners & {"customer", "nation", "region"}:
+        foreign.append("o_custkey")
+    if fact == "lineitem" and "part" in owners:
+        foreign.append("l_partkey")
+    if fact == "lineitem" and owners & {"orders", "customer", "nation", "region"}:
+        foreign.append("l_orderkey")
+    own = [ATTRIBUTES[k][1] for k in keys if ATTRIBUTES[k][0] == fact]
+    sums = facts.select(
+        *dict.fromkeys(foreign + own), when.cast("date").alias("ds"), amount.cast("double").alias("y")
+    ).na.drop(subset=["ds", "y"]).groupBy(*dict.fromkeys(foreign + own), "ds").agg(F.sum("y").alias("y"))
+    joined = _with_dimensions(spark, folder, fact, sums, owners)
+    key = key_of([ATTRIBUTES[k][1] for k in keys])
+    return joined.select(key.alias("series_key"), "ds", "y").groupBy("series_key", "ds").agg(F.sum("y").alias("y"))

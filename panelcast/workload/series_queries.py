@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import rnd
 from panelcast.operators import series as S
-from panelcast.sources.tables import read_sales_table, table
+from panelcast.sources.tables import read_sales_sums, read_sales_table, table
 from panelcast.workload.base import (
     BRAND_MONTHLY,
     EVENT_DAILY,
@@ -44,6 +44,12 @@ def _(spark, folder):
     return nation_rows(spark, folder)
 
 
+@query("read_sales_sums", f"""WITH {ROWS_NATION} SELECT series_key, ds, {rsql('sum(y)', 2, 'y')}
+  FROM rows_ GROUP BY series_key, ds""")
+def _(spark, folder):
+    return _out(read_sales_sums(spark, folder, "orders", ("nation",)), 2)
+
+
 @query("resample_sum", _sql(resampled(ROWS_NATION, "W"), "resampled"))
 def _(spark, folder):
     return _out(S.resample_sum(nation_rows(spark, folder), "W"))

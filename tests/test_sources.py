@@ -2,10 +2,14 @@ from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from panelcast.operators import diagnostics as G
+from panelcast.operators import features as X
 from panelcast.sources import detect as D
 from panelcast.sources import files
+from panelcast.sources import tables as T
 from panelcast.streaming import requests as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -123,3 +127,38 @@ def test_queries_agree_with_sql(spark, name):
     want = sorted(repr([r[i] for i in order]) for r in result.fetchall())
     got = entry_points.queries()[name](spark, SMALL).select(*columns).collect()
     assert sorted(repr(list(r)) for r in got) == want
+
+
+@pytest.mark.parametrize("fact, keys", [
+    ("orders", ()), ("orders", ("region", "status")), ("orders", ("segment",)), ("lineitem", ("brand", "nation")),
+    ("lineitem", ("returnflag", "priority")), ("events", ("event_type",))])
+def test_sums_before_joins_equal_sums_after(spark, fact, keys):
+    rows = T.read_sales_table(spark, SMALL, fact, keys)
+    want = {(r["series_key"], r["ds"]): r["s"] for r in rows.groupBy("series_key", "ds").agg(F.sum("y").alias("s")).collect()}
+    got = {(r["series_key"], r["ds"]): r["y"] for r in T.read_sales_sums(spark, SMALL, fact, keys).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_sums_before_joins_shrink_what_is_joined(spark):
+    plan = T.read_sales_sums(spark, SMALL, "orders", ("nation",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate")
+
+
+def test_share_with_more_labels_than_a_list_holds(spark, monkeypatch):
+    monkeypatch.setattr(G, "LABELS", 3)
+    rows = [(f"r{i % 4}", None if i == 7 else f"c{i % 17}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row string, col string, v double")
+    got = {(r["row"], r["col"]): r["share"] for r in G.category_share(df, "row", "col", "v").collect()}
+    total = {k: sum(v for a, _, v in rows if a == k) for k in ("r0", "r1", "r2", "r3")}
+    assert len(got) == 4 * 17
+    for (a, b), share in got.items():
+        assert share == pytest.approx(sum(v for x, y, v in rows if (x, y) == (a, b)) / total[a])
+
+
+def test_festival_scores_with_a_date_far_away(spark):
+    near = spark.sql("SELECT 'a' AS series_key, explode(sequence(DATE'2024-01-01', DATE'2024-12-31')) AS ds")
+    far = near.union(spark.sql("SELECT 'b', DATE'9999-06-01'"))
+    rows = lambda df: {(r["series_key"], r["ds"]): r["festival_score"] for r in X.festival_join(df).collect()}
+    got, want = rows(far), rows(near)
+    assert len(got) == 367 and {k: v for k, v in got.items() if k[0] == "a"} == want and max(want.values()) == 1
