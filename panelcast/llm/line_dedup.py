@@ -15,6 +15,8 @@ from panelcast.llm.common import LOWER, SPACE, UPPER, rows_of, stored
 BLOCKS = 512
 """Blocks of documents a single line hash is spread over, so that a line found in a third of all
 documents is streamed by many tasks."""
+SALTS = 64
+"""Parts of these blocks, one per bit of a long: the records of one common line meet it in so many tasks."""
 
 
 def line_key(line: Column) -> Column:
@@ -56,9 +58,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     streamed = ranged.select("*", (~before.eqNullSafe(F.struct("g", "doc_id", "tid"))).alias("opens"))
     by_block = streamed.where("opens").groupBy("h", "g", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tid", "pos")).alias("first"))
+    salt = F.pmod(F.col("block"), F.lit(SALTS))
     common = by_block.groupBy("h", "g").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    hit = records.join(common.select("h", "g", "first"), ["h", "g"])
+        F.sum("n").alias("n"), F.min("first").alias("first"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt)).alias("salts")).where(F.col("n") >= min_docs)
+    # A common line goes only to the parts that hold it: one row for most, at most 64.
+    dealt = common.select("h", "g", "first", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(SALTS - 1)),
+        lambda i: F.call_function("getbit", F.col("salts"), i) == 1)).alias("salt"))
+    hit = records.withColumn("salt", salt).join(dealt, ["h", "g", "salt"])
     if keep == "first":
         hit = hit.where(~F.struct("doc_id", "tid", "pos").eqNullSafe(F.col("first")))
     words = hit.groupBy("doc_id", "tid", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(

@@ -177,6 +177,15 @@ def test_line_dedup_edges(docs_of):
         *((i, f"own{i}", 4) for i in range(10)), (77, None, None)}
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup_of_a_line_in_every_part(docs_of, keep):
+    """A line of 900 documents meets its records in all parts it is dealt to; a rare one in ten."""
+    pairs = [(i, f"hot\nown {i}" + ("\nrare" if i % 90 == 0 else "") + ("\nnine" if i % 100 == 7 else ""))
+             for i in range(900)]
+    got = line_dedup.dedup_lines(docs_of(pairs), min_docs=10, keep=keep).collect()
+    assert sorted(tuple(r) for r in got) == plain_lines(pairs, 10, keep)
+
+
 def test_line_dedup_is_native(docs_of):
     plan = line_dedup.dedup_lines(docs_of([(1, "a")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
