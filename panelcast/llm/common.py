@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_SYSTEM = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return memory that nothing uses to the system: a Python worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_SYSTEM, "malloc_trim"):
+        _SYSTEM.malloc_trim(0)
+
+
 def tally(n: int, per: int, least: int = 1) -> int:
     """Number of groups of about ``per`` rows that ``n`` rows need."""
     return max(least, -(-n // per))

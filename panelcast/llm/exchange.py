@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import give_back
+
 U64 = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 FLUSH = 1_000_000
@@ -123,7 +125,7 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[li
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

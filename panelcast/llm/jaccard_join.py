@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import exchange as X
-from panelcast.llm.common import rows_of, stored
+from panelcast.llm.common import give_back, rows_of, stored
 from panelcast.llm.components import components
 
 BITS = 48
@@ -82,6 +82,7 @@ def _shared(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     if bucket >= buckets:
         return pd.DataFrame({"bucket": bucket - buckets, "payload": frame["payload"], "sizes": True})
     h, _, docs = X.received(frame["payload"], ["doc", "whole"])
+    give_back()
     order = np.lexsort((docs["doc"], docs["whole"], h))
     h, doc, whole = h[order], docs["doc"][order], docs["whole"][order]
     texts = X.group_starts(h, whole)  # one entry per text: the smallest of its documents
@@ -114,6 +115,7 @@ def _sets(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         cuts = np.append(X.group_starts(doc, whole) if len(doc) else [], len(doc)).astype(int)
         for i, j in zip(cuts, cuts[1:]):
             parts.setdefault((int(doc[i]), int(whole[i])), []).append(value[i:j])
+    give_back()
     rows = []
     for d, (n, w) in size.items():
         keys = np.sort(np.unique(np.concatenate(parts[d, w]))) if (d, w) in parts else np.zeros(0, dtype=np.uint64)

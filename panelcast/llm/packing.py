@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import rows_of, stored
+from panelcast.llm.common import give_back, rows_of, stored
 
 WORDS_KEPT = 600_000
 """Words whose ids a task remembers; beyond it the memory is emptied."""
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                     [pa.array(v, t) for v, t in zip(out, [pa.int64()] * 4 + [pa.binary()])], names)
         # A worker goes on to other stages; they need the memory.
         _tokens(tokenizer_path).words.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows_of(docs, id_col, text_col).mapInArrow(
         cut, "doc_id long, start long, length long, doc_tokens long, ids binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import held_out, rows_of
+from panelcast.llm.common import give_back, held_out, rows_of
 
 BITS = 20
 SIZES = (4, 5)
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
+            give_back()
 
     return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -184,5 +185,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("").to_pylist()
             yield batch.filter(pa.array(scores(texts, sent.value) < threshold))
+            del texts
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)
