@@ -171,9 +171,21 @@ def _(spark, folder):
     return G.optimal_lags(nation_weekly(spark, folder), rule="centred")
 
 
-@query("pacf")
+# The recursion from lag k to k + 1, with the coefficients of lag k in a list.
+_PACF = """
+rho AS (SELECT series_key, list(r * n / (n - lag) ORDER BY lag) AS g, count(*) - 1 AS lags FROM r GROUP BY 1),
+levels AS (SELECT series_key, g, lags, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS p FROM rho
+  UNION ALL SELECT series_key, g, lags, k + 1,
+    list_append(list_transform(range(1, k + 1), lambda i: phi[i] - p1 * phi[k + 1 - i]), p1), p1
+  FROM (SELECT *, (g[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * g[k + 2 - i])), 0))
+    / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * g[i + 1])), 0)) AS p1
+    FROM levels WHERE k < lags))"""
+
+
+@query("pacf", f"""WITH RECURSIVE {NATION_WEEKLY}, {_ACF}, {_PACF}
+SELECT series_key, CAST(k AS INTEGER) AS lag, {rsql('p', 6, 'pacf')} FROM levels""")
 def _(spark, folder):
-    return G.pacf(nation_weekly(spark, folder))
+    return G.pacf(nation_weekly(spark, folder)).withColumn("pacf", rnd(F.col("pacf")))
 
 
 @query("adf_test")

@@ -294,10 +294,23 @@ def _(spark, folder):
     return out.withColumn("yhat", rnd(F.col("yhat"), 2))
 
 
-@query("weighted_ensemble")
+def _weights_within() -> str:
+    """The ensemble's weights from the training rows alone, whose newest part is its validation."""
+    full = baselines_sql(NATION_WEEKLY)
+    return f"""(WITH RECURSIVE {NATION_WEEKLY}, known AS (SELECT series_key, ds, y FROM
+  (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ds) - 1 AS place,
+    count(*) OVER (PARTITION BY series_key) AS total FROM series)
+  WHERE place < floor(total * CAST(0.8 AS DOUBLE))),
+{_VALIDATION.replace("FROM series)", "FROM known)")}, {full[full.index("naive AS"):]}, {_WEIGHTS} SELECT * FROM weights)"""
+
+
+@query("weighted_ensemble", f"""WITH RECURSIVE {baselines_sql(NATION_WEEKLY)}
+SELECT s.series_key, s.step, s.ds, {rsql('greatest(sum(yhat * weight), CAST(0 AS DOUBLE))', 2, 'yhat')}
+FROM scored s JOIN {_weights_within()} w ON w.series_key = s.series_key AND w.model = s.model GROUP BY 1, 2, 3""")
 def _(spark, folder):
     train, test = train_test(cut_lineage(nation_weekly(spark, folder)))
-    return E.WeightedEnsemble(baselines()).forecast(train, test.drop("y"))
+    out = E.WeightedEnsemble(baselines()).forecast(train, test.drop("y"))
+    return out.withColumn("yhat", rnd(F.col("yhat"), 2))
 
 
 @query("stacking")

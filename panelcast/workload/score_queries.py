@@ -344,18 +344,19 @@ def _(spark, folder):
     return I.insight_rules(series, forecast, F.lit("2001-08-26").cast("date"))
 
 
-def _refit_sql() -> str:
+def _refit_ctes() -> str:
+    """CTEs ``scored``, the forecasts of the next weeks, and ``best``, the winner of each series."""
     full = baselines_sql(NATION_WEEKLY)
     return f"""WITH RECURSIVE {NATION_WEEKLY}, {PLACED}, train AS (SELECT series_key, ds, y, pos, n FROM placed),
 test AS (SELECT series_key, CAST(h AS INTEGER) AS step, CAST(last_ds + h * INTERVAL 7 DAY AS DATE) AS ds, CAST(NULL AS DOUBLE) AS y
   FROM (SELECT series_key, max(ds) AS last_ds, unnest(range(1, {STEPS + 1})) AS h FROM placed GROUP BY 1)),
 {full[full.index("naive AS"):]},
 best AS (SELECT series_key, model FROM (WITH {METRICS} SELECT * FROM metrics
-  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) = 1))
-SELECT series_key, model, step, ds, {rsql('yhat', 2, 'yhat')} FROM scored JOIN best USING (series_key, model)"""
+  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) = 1))"""
 
 
-@query("refit_on_full", _refit_sql())
+@query("refit_on_full", f"""{_refit_ctes()}
+SELECT series_key, model, step, ds, {rsql('yhat', 2, 'yhat')} FROM scored JOIN best USING (series_key, model)""")
 def _(spark, folder):
     series = cut_lineage(nation_weekly(spark, folder))
     winners = R.best_model(backtest(baselines(), series)).select("series_key", "model")
@@ -375,7 +376,12 @@ def _(spark, folder):
     return P.text_report(*_report_parts(spark, folder))
 
 
-@query("write_forecast_json")
+@query("write_forecast_json", f"""{_refit_ctes()}
+SELECT series_key, any_value(model) AS best_model, CAST(count(*) AS INTEGER) AS periods,
+  CASE WHEN coalesce((avg(yhat) - any_value(past)) / nullif(any_value(past), 0), 0) >= 0
+    THEN 'higher' ELSE 'lower' END AS direction
+FROM scored JOIN best USING (series_key, model)
+JOIN (SELECT series_key, avg(y) AS past FROM series GROUP BY 1) USING (series_key) GROUP BY 1""")
 def _(spark, folder):
     series, scores, forecast = _report_parts(spark, folder)
     best = R.best_model(scores).select("series_key", "model")
