@@ -84,16 +84,16 @@ def baselines(season: int = SEASON) -> list:
 
 
 def _model_query(name: str, model, ctes: str, source: str, panel=nation_weekly,
-                 panel_sql: str = NATION_WEEKLY) -> None:
+                 panel_sql: str = NATION_WEEKLY, digits: int = 2) -> None:
     def run(spark, folder):
         train, test = train_test(panel(spark, folder))
         out = model.forecast(train, test.drop("y"))
-        return out.select("series_key", "step", "ds", rnd(F.col("yhat"), 2).alias("yhat"))
+        return out.select("series_key", "step", "ds", rnd(F.col("yhat"), digits).alias("yhat"))
 
     sql = None
     if ctes:
         sql = (f"WITH RECURSIVE {panel_sql}, {SPLIT}, {ctes} SELECT series_key, step, ds, "
-               f"{rsql('yhat', 2, 'yhat')} FROM {source}")
+               f"{rsql('yhat', digits, 'yhat')} FROM {source}")
     query(name, sql)(run)
 
 
@@ -106,4 +106,32 @@ _model_query("model_ar1", AR1(), AR1_SQL, "ar1")
 _model_query("model_holt_winters", HoltWinters(season=SEASON), hw_sql(SEASON), "hw")
 _model_query("model_holt_winters_short", HoltWinters(season=15), hw_sql(15), "hw",
              event_daily, EVENT_DAILY)
-_model_query("model_ar", AR(14), "", "")
+
+
+def ar_sql(p: int, most: int = 400) -> str:
+    """Normal equations of the centred lags, solved by elimination over a list of rows, then the recursion."""
+    lags = ", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in range(1, p + 1))
+    each = " UNION ALL ".join(f"SELECT series_key, pos, {k} AS j, x{k} - mean AS v FROM lagged" for k in range(1, p + 1))
+    return f"""
+centre AS (SELECT series_key, avg(y) AS mean, list(y ORDER BY pos DESC)[1:{p}] AS newest FROM train GROUP BY 1),
+lagged AS (SELECT * FROM (SELECT series_key, pos, y, mean, {lags} FROM train JOIN centre USING (series_key)
+  WINDOW w AS (PARTITION BY series_key ORDER BY pos)) WHERE x{p} IS NOT NULL),
+long AS (SELECT series_key, pos, 0 AS j, CAST(1 AS DOUBLE) AS v FROM lagged UNION ALL {each}
+  UNION ALL SELECT series_key, pos, {p + 1}, y - mean FROM lagged),
+moments AS (SELECT a.series_key, a.j AS i, b.j, sum(a.v * b.v) AS s FROM long a
+  JOIN long b ON a.series_key = b.series_key AND a.pos = b.pos WHERE a.j <= {p} GROUP BY 1, 2, 3),
+solved AS (SELECT series_key, list(line ORDER BY i) AS m, 1 AS k FROM
+    (SELECT series_key, i, list(s ORDER BY j) AS line FROM moments GROUP BY 1, 2) GROUP BY 1
+  UNION ALL SELECT series_key, list_transform(range(1, {p + 2}), lambda i: list_transform(range(1, {p + 3}), lambda j:
+    CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] / m[k][k] * m[k][j] END)), k + 1
+  FROM solved WHERE k <= {p + 1}),
+ar_fit AS (SELECT series_key, mean, newest, list_transform(m, lambda line: line[{p + 2}]) AS beta
+  FROM solved JOIN centre USING (series_key) WHERE k = {p + 2}),
+ar_path AS (SELECT series_key, beta, mean, newest AS h, 0 AS step, CAST(NULL AS DOUBLE) AS yhat FROM ar_fit
+  UNION ALL SELECT series_key, beta, mean, list_prepend(v, h[1:{p - 1}]), step + 1, v FROM
+    (SELECT *, greatest(mean + beta[1] + list_sum(list_transform(range(1, {p + 1}), lambda i: beta[i + 1] * (h[i] - mean))),
+      CAST(0 AS DOUBLE)) AS v FROM ar_path WHERE step < {most})),
+ar AS (SELECT t.series_key, t.step, t.ds, q.yhat FROM test t JOIN ar_path q ON q.series_key = t.series_key AND q.step = t.step)"""
+
+
+_model_query("model_ar", AR(14), ar_sql(14), "ar", digits=0)
