@@ -62,7 +62,7 @@ def text_report(
         F.lit("BEST MODEL PERFORMANCE"),
         line("RMSE", amount("rmse")),
         line("MAE", amount("mae")),
-        line("R2", F.format_string("%.4f", "r2")),
+        line("R2", F.format_string("%.4f", F.round("r2", 4))),  # without the sign of a zero, as in the list below
         F.lit("TOP 5 MODELS"),
         F.array_join(entry, "\n"),
     ]

@@ -109,7 +109,8 @@ _model_query("model_holt_winters_short", HoltWinters(season=15), hw_sql(15), "hw
 
 
 def ar_sql(p: int, most: int = 400) -> str:
-    """Normal equations of the centred lags, solved by elimination over a list of rows, then the recursion."""
+    """Normal equations of the centred lags, solved by elimination over a list of rows, then the recursion.
+    Lags that depend on each other give null here, where the engine takes the shortest solution."""
     lags = ", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in range(1, p + 1))
     each = " UNION ALL ".join(f"SELECT series_key, pos, {k} AS j, x{k} - mean AS v FROM lagged" for k in range(1, p + 1))
     return f"""

@@ -371,7 +371,30 @@ def _report_parts(spark, folder):
     return series, scores, cut_lineage(run_models(baselines(), series, future))
 
 
-@query("text_report")
+def _inr_sql(value: str) -> str:
+    return f"""CASE WHEN {value} >= 1e7 THEN '₹' || printf('%.2f', {value} / 1e7) || ' Cr'
+  WHEN {value} >= 1e5 THEN '₹' || printf('%.2f', {value} / 1e5) || ' L' ELSE '₹' || format('{{:,.2f}}', {value}) END"""
+
+
+@query("text_report", f"""{_refit_ctes()},
+scores AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) AS place
+  FROM (WITH {METRICS} SELECT * FROM metrics)),
+top AS (SELECT series_key, string_agg(place || '. ' || model || repeat(' ', greatest(28 - length(model), 0)) || ' RMSE '
+  || repeat(' ', greatest(15 - length(amount), 0)) || amount || '  R2 ' || printf('%.4f', round(r2, 4) + 0), chr(10) ORDER BY place) AS lines
+  FROM (SELECT *, format('{{:,.2f}}', round(rmse, 4)) AS amount FROM scores) WHERE place <= 5 GROUP BY 1),
+ahead AS (SELECT series_key, min(ds) AS first, max(ds) AS last, sum(yhat) AS total, avg(yhat) AS mean, count(*) AS periods
+  FROM scored JOIN best USING (series_key, model) GROUP BY 1),
+trend AS (SELECT series_key, coalesce((any_value(mean) - avg(y)) / nullif(avg(y), 0) * 100, 0) AS pct
+  FROM series JOIN ahead USING (series_key) GROUP BY 1)
+SELECT series_key, array_to_string([
+  'SALES FORECAST REPORT', 'Dataset          : ' || series_key, 'Best model       : ' || model, 'Mode             : QUICK',
+  'FORECAST SUMMARY (' || periods || ' periods ahead)', 'From             : ' || first, 'To               : ' || last,
+  'Total forecast   : ' || {_inr_sql("total")}, 'Mean per period  : ' || {_inr_sql("mean")},
+  'Market trend     : ' || printf('%.1f', abs(pct)) || '% ' || CASE WHEN pct >= 0 THEN 'higher' ELSE 'lower' END
+    || ' than historical average',
+  'BEST MODEL PERFORMANCE', 'RMSE             : ' || format('{{:,.2f}}', rmse), 'MAE              : ' || format('{{:,.2f}}', mae),
+  'R2               : ' || printf('%.4f', round(r2, 4) + 0), 'TOP 5 MODELS', lines], chr(10)) AS report
+FROM scores JOIN top USING (series_key) JOIN ahead USING (series_key) JOIN trend USING (series_key) WHERE place = 1""")
 def _(spark, folder):
     return P.text_report(*_report_parts(spark, folder))
 

@@ -116,7 +116,8 @@ def test_entry_points(spark):
 
 
 @pytest.mark.parametrize("name", ["resample_sum", "fill_gaps", "series_summary", "acf",
-                                  "forecast_metrics", "peak_trough"])
+                                  "forecast_metrics", "peak_trough", "pacf", "model_ar",
+                                  "weighted_ensemble", "write_forecast_json"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "customer", "nation", "lineitem", "part", "events"):
