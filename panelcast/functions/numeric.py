@@ -33,6 +33,12 @@ def rnd(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the number as it is stored. ``%.2f`` rounds the shortest decimal
+    that stands for it instead, so 1.005, which lies below that, becomes 1.01."""
+    return F.call_function("format_number", x, F.lit(f"0.{'0' * digits}"))
+
+
 def not_negative(x: Column) -> Column:
     """At least 0; null stays null."""
     return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import fixed
 from panelcast.operators.metrics import forecast_volatility, market_trend, peak_trough
 
 # The texts of each rule as (category, level, title, description, actions). {pct} is
@@ -107,9 +108,9 @@ def rule_levels(as_of: Column) -> list[tuple[str, Column]]:
 
 def _fill(template: str) -> Column:
     values = {
-        "{pct}": F.format_string("%.1f", "pct"),
-        "{abs}": F.format_string("%.1f", F.abs("pct")),
-        "{vol}": F.format_string("%.1f", F.col("volatility") * 100),
+        "{pct}": fixed(F.col("pct"), 1),
+        "{abs}": fixed(F.abs("pct"), 1),
+        "{vol}": fixed(F.col("volatility") * 100, 1),
         "{peak}": F.format_number("peak", 0),
         "{day}": F.date_format("peak_ds", "dd MMM"),
     }

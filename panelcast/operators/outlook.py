@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.freq import shift_period
+from panelcast.functions.numeric import fixed
 
 BAND = 0.10
 
@@ -55,9 +56,9 @@ LAKH = 1e5
 def format_inr(value: Column, digits: int = 0) -> Column:
     """Rupees: crore from ten million, lakh from a hundred thousand, else a plain amount."""
     return (
-        F.when(value >= CRORE, F.concat(F.lit("₹"), F.format_string("%.2f", value / CRORE),
+        F.when(value >= CRORE, F.concat(F.lit("₹"), fixed(value / CRORE, 2),
                                         F.lit(" Cr")))
-        .when(value >= LAKH, F.concat(F.lit("₹"), F.format_string("%.2f", value / LAKH),
+        .when(value >= LAKH, F.concat(F.lit("₹"), fixed(value / LAKH, 2),
                                       F.lit(" L")))
         .otherwise(F.concat(F.lit("₹"), F.format_number(value, digits)))
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import fixed
 from panelcast.operators.metrics import forecast_summary, market_trend
 from panelcast.operators.outlook import format_inr
-from panelcast.operators.ranking import leaderboard_top_n
+from panelcast.operators.ranking import leaderboard_rmse, leaderboard_top_n
 
 
 def _best_outlook(series: DataFrame, metrics: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def _best_outlook(series: DataFrame, metrics: DataFrame, forecast: DataFrame) ->
     )
 
 
-def _ranked(metrics: DataFrame, n: int) -> DataFrame:
-    """The n best models of each series as one sorted array."""
+def _as_list(leaderboard: DataFrame) -> DataFrame:
+    """The ranked models of each series as one sorted array."""
     row = F.struct("rank", "model", "rmse", "mae", "r2")
-    return leaderboard_top_n(metrics, n).groupBy("series_key").agg(
+    return leaderboard.groupBy("series_key").agg(
         F.sort_array(F.collect_list(row)).alias("leaderboard")
     )
 
@@ -42,8 +43,8 @@ def text_report(
 
     entry = F.transform(
         "leaderboard",
-        lambda m: F.format_string("%d. %-28s RMSE %,15.2f  R2 %.4f", m["rank"], m["model"],
-                                  m["rmse"], m["r2"]),
+        lambda m: F.format_string("%d. %-28s RMSE %15s  R2 %.4f", m["rank"], m["model"],
+                                  F.format_number(m["rmse"], 2), F.round(m["r2"], 4)),
     )
     lines = [
         F.lit("SALES FORECAST REPORT"),
@@ -57,7 +58,7 @@ def text_report(
         line("Total forecast", format_inr(F.col("total"), 2)),
         line("Mean per period", format_inr(F.col("mean"), 2)),
         line("Market trend", F.concat(
-            F.format_string("%.1f", F.abs("pct")), F.lit("% "), F.col("direction"),
+            fixed(F.abs("pct"), 1), F.lit("% "), F.col("direction"),
             F.lit(" than historical average"))),
         F.lit("BEST MODEL PERFORMANCE"),
         line("RMSE", amount("rmse")),
@@ -66,7 +67,9 @@ def text_report(
         F.lit("TOP 5 MODELS"),
         F.array_join(entry, "\n"),
     ]
-    joined = _best_outlook(series, metrics, forecast).join(_ranked(metrics, 5), "series_key")
+    # Scores are rounded once, when they are printed, so the list says of a model what the lines above say.
+    top = _as_list(leaderboard_rmse(metrics).where(F.col("rank") <= 5))
+    joined = _best_outlook(series, metrics, forecast).join(top, "series_key")
     return joined.select("series_key", F.concat_ws("\n", *lines).alias("report"))
 
 
@@ -79,7 +82,7 @@ def json_result(
         F.struct("category", "level", "title", "description", "actions"))).alias("recommendations"))
     facts = (
         _best_outlook(series, metrics, forecast)
-        .join(_ranked(metrics, 10), "series_key")
+        .join(_as_list(leaderboard_top_n(metrics, 10)), "series_key")
         .join(advice, "series_key", "left")
         .join(text_report(series, metrics, forecast, mode), "series_key")
     )

@@ -10,6 +10,7 @@ from panelcast.operators import diagnostics as G
 from panelcast.operators import insight as I
 from panelcast.operators import metrics as M
 from panelcast.operators import outlook as O
+from panelcast.operators import report as P
 from panelcast.operators.series import train_test
 from panelcast.plans import ensemble as E
 from panelcast.plans import folds as L
@@ -184,6 +185,25 @@ def test_rupees(spark):
     assert got == ["₹2.50 Cr", "₹1.50 L", "₹1,234"]
 
 
+def test_rupees_are_rounded_from_the_stored_number(spark):
+    df = spark.createDataFrame([(1.005e7,), (1.125e5,), (1.375e5,)], "v double")
+    got = [r[0] for r in df.select(O.format_inr(F.col("v"))).collect()]
+    assert got == [f"₹{1.005e7 / 1e7:.2f} Cr", f"₹{1.125:.2f} L", f"₹{1.375:.2f} L"]
+
+
+def test_report_rounds_scores_once(spark, make):
+    """The list of models shows the error that the lines above it show, ties and near ties of two digits included."""
+    errors = {"a": 3922678.9449696513, "b": 5762957.385, "c": 10753099.084958216, "d": 1.005, "e": 2.125, "f": 2.375}
+    series = make({k: ("2024-01-01", "D", [1.0, 3.0]) for k in errors})
+    metrics = spark.createDataFrame([(k, "naive", v, v, -0.00003) for k, v in errors.items()],
+                                    "series_key string, model string, rmse double, mae double, r2 double")
+    forecast = series.select("series_key", F.lit("naive").alias("model"), F.lit(1).alias("step"), "ds", F.col("y").alias("yhat"))
+    for key, text in P.text_report(series, metrics, forecast).collect():
+        lines = text.split("\n")
+        assert f"RMSE             : {errors[key]:,.2f}" in lines
+        assert lines[-1] == f"1. {'naive':<28} RMSE {errors[key]:>15,.2f}  R2 0.0000"
+
+
 def test_hold_out_is_never_seen(panel):
     train, test = train_test(panel)
     assert train.join(test, ["series_key", "ds"]).isEmpty()
