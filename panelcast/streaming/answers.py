@@ -12,6 +12,8 @@ from panelcast.plans.run import dataset_of, run_rows
 from panelcast.session import cut_lineage
 from panelcast.streaming.requests import MODES
 
+#: Requests of one dataset and mode that are answered together; more of them are dealt over several tasks.
+TOGETHER = 10_000
 FORECAST_SCHEMA = "dataset string, mode string, series_key string, model string, step int, ds date, yhat double"
 
 
@@ -24,12 +26,19 @@ def answer_requests(
     once per mode, as far as the longest request reaches, whatever the number of requests. Forecasts:
     ``(subject, sender, mode, periods, dataset, series_key, model, step, ds, yhat)``. Status: the request,
     ``messages`` (how often it came) and ``answered``, ``unknown dataset``, ``too short`` or ``failed``.
+
+    Requests for one dataset are dealt over parts by a hash, and each part gets a copy of what is known of the dataset,
+    so a dataset that is asked for often does not meet all its requests in one task.
     """
     spark = rows.sparkSession
     asked = cut_lineage(requests.groupBy("subject", "sender", "mode", "periods", "dataset").agg(
         F.count(F.lit(1)).alias("messages")))
-    wanted = asked.groupBy("mode", "dataset").agg(F.max("periods").alias("periods"))
-    reach = {r["mode"]: r["periods"] for r in wanted.groupBy("mode").agg(F.max("periods").alias("periods")).collect()}
+    wanted = asked.groupBy("mode", "dataset").agg(F.max("periods").alias("periods"), F.count(F.lit(1)).alias("requests"))
+    modes = wanted.groupBy("mode").agg(F.max("periods").alias("periods"), F.max("requests").alias("requests")).collect()
+    reach = {r["mode"]: r["periods"] for r in modes}
+    parts = -(-max([r["requests"] for r in modes], default=1) // TOGETHER)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("subject", "sender", "periods"), F.lit(parts)))
+    places = cut_lineage(asked.select("dataset", "mode", "part").distinct())
     forecasts, modelled = [spark.createDataFrame([], FORECAST_SCHEMA)], []
     for mode in (m for m in MODES if m in reach):
         needed = wanted.where(F.col("mode") == mode).select("dataset")
@@ -41,16 +50,19 @@ def answer_requests(
             "series_key", F.expr("substring(series_key, length(dataset) + 2)")))
         modelled.append(run.series.select("series_key").withColumns(of).select("dataset", "mode").distinct())
     forecast = cut_lineage(reduce(DataFrame.unionByName, forecasts))
-    answers = asked.drop("messages").join(forecast, ["dataset", "mode"]).where(F.col("step") <= F.col("periods")).select(
+    copies = places.join(forecast, ["dataset", "mode"])
+    answers = asked.join(copies, ["dataset", "mode", "part"]).where(F.col("step") <= F.col("periods")).select(
         "subject", "sender", "mode", "periods", "dataset", "series_key", "model", "step", "ds", "yhat")
     made = forecast.where(F.col("yhat").isNotNull()).groupBy("dataset", "mode").agg(F.lit(True).alias("made"))
     known = rows.select("dataset").distinct().withColumn("known", F.lit(True))
-    status = asked.join(known, "dataset", "left").join(made, ["dataset", "mode"], "left")
+    found = places.join(known, "dataset", "left").join(made, ["dataset", "mode"], "left")
     long = reduce(DataFrame.unionByName, modelled).withColumn("long", F.lit(True)) if modelled else None
-    status = status.join(long, ["dataset", "mode"], "left") if long is not None else status.withColumn("long", F.lit(False))
+    found = found.join(long, ["dataset", "mode"], "left") if long is not None else found.withColumn("long", F.lit(False))
     state = F.when(F.col("made"), "answered").when(F.col("known").isNull(), "unknown dataset").when(
         F.col("long"), "failed").otherwise("too short")
-    return answers, status.select("subject", "sender", "mode", "periods", "dataset", "messages", state.alias("status"))
+    status = asked.join(found.select("dataset", "mode", "part", state.alias("status")), ["dataset", "mode", "part"], "left")
+    return answers, status.select("subject", "sender", "mode", "periods", "dataset", "messages",
+                                  F.coalesce("status", F.lit("unknown dataset")).alias("status"))
 
 
 def forecast_answers(

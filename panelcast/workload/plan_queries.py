@@ -479,8 +479,10 @@ def _(spark, folder):
     answer = forecast_answers(rows, "D", out, lambda mode: {m.id: m for m in baselines(7)}, combine=False)
     request_stream(spark, inbox, _fresh(spark, "marks"), answer).awaitTermination()
     key = ["subject", "sender", "mode", "periods", "dataset"]
-    totals = spark.read.parquet(f"{out}/forecast").groupBy(*key).agg(
-        F.max("model").alias("model"), F.count(F.lit(1)).alias("steps"), F.sum("yhat").alias("total"))
+    # A dataset has one series here, so a request has one model. As a key it leaves only numbers to add up, in a hash
+    # table of a row per request; the largest of strings would sort every row of the forecasts first.
+    totals = spark.read.parquet(f"{out}/forecast").groupBy(*key, "model").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum("yhat").alias("total"))
     status = spark.read.parquet(f"{out}/status").drop("batch")
     return status.join(totals, key, "left").select(
         *key, "messages", "status", "model", F.coalesce("steps", F.lit(0)).alias("steps"), rnd(F.col("total"), 2).alias("total"))

@@ -338,6 +338,33 @@ def test_calendar_folds_never_learn_from_tested_dates(make):
     assert same[0] == same[1]
 
 
+def test_requests_for_one_dataset_are_dealt_over_tasks(spark, make, monkeypatch):
+    """Sorted joins, no partitions put together: a hot dataset must not meet all its requests in one task."""
+    monkeypatch.setattr("panelcast.streaming.answers.TOGETHER", 5, raising=False)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = make({"x": ("2023-01-01", "D", range(60))}).withColumn("dataset", F.lit("hot"))
+    asked = spark.createDataFrame([(f"s{i}", f"u{i}", "quick", 1 + i % 3, "hot" if i % 4 else "gone") for i in range(80)] + [
+        (None, None, "quick", 2, "hot")], "subject string, sender string, mode string, periods int, dataset string")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        answers, status = answer_requests(asked, rows, "D", lambda mode: {"naive": Naive()}, combine=False)
+        for frame in (answers, status.where("dataset = 'hot'")):
+            sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
+        got = sorted(map(str, answers.select("subject", "sender", "periods", "step", "yhat").collect()))
+        told = sorted(map(str, status.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr("panelcast.streaming.answers.TOGETHER", 10_000, raising=False)
+    answers, status = answer_requests(asked, rows, "D", lambda mode: {"naive": Naive()}, combine=False)
+    assert got == sorted(map(str, answers.select("subject", "sender", "periods", "step", "yhat").collect()))
+    assert told == sorted(map(str, status.collect())) and len(told) == 81
+    assert len(got) == sum(1 + i % 3 for i in range(80) if i % 4) + 2
+
+
 def test_datasets_of_several_frequencies(spark, make):
     rng = np.random.default_rng(3)
     daily = make({"x": ("2023-01-01", "D", rng.uniform(50, 100, 60)), "y": ("2023-01-01", "D", rng.uniform(5, 9, 60))})

@@ -108,6 +108,17 @@ def test_stream_answers_each_message_once(spark, tmp_path):
     assert seen == ["forecast a", "forecast b"]
 
 
+def test_answers_are_summed_without_a_sort(spark):
+    """The forecasts of all requests are many rows; a sort of them takes the memory that a task can get."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    out = entry_points.queries()["request_answers"](spark, SMALL)
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+    want = con.execute(entry_points.oracle_sql()["request_answers"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(repr, map(tuple, out.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_entry_points(spark):
     queries, sql = entry_points.queries(), entry_points.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 125
